@@ -5,17 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewater.llm.chat import digests, format_chats, log_of
 from tidewater.llm.common import table
+from tidewater.llm.decontaminate import contaminated
+from tidewater.llm.language import identify
+from tidewater.llm.mixing import mix
 from tidewater.llm.near_dups import near_dup_groups
+from tidewater.llm.quality import quality
+from tidewater.llm.rules import quality_rules
+from tidewater.llm.sharding import assign
+from tidewater.llm.toxicity import toxicity
+
+#: The conversation that the chat contract adds: what its texts say looks like another template's control strings.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_groups(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql(f"select -1L conv_id, pos turn, role, '{TRICKY}' text from (select posexplode(array('user', 'assistant')) as (pos, role))")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(extra.select("conv_id", F.col("turn").cast("long"), "role", "text"))
+    return digests(format_chats(log_of(rows)))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assign(table(spark, sf_dir, "documents"), shards=40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dups,)}
+    found = (op1_toxicity, op2_minhash_near_dups, op3_chat_format, op4_quality, op5_sharding, op6_quality_rules, op7_decontamination, op8_language_id, op9_source_mixing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
