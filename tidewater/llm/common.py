@@ -84,13 +84,13 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         yield batch.slice(start)
 
 
-def mapped(df: DataFrame, schema: str, per_chunk: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text") -> DataFrame:
+def mapped(df: DataFrame, schema: str, per_chunk: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """Applies `per_chunk` to the rows of df, a bounded number of text bytes at a time."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text):
+            for part in chunks(batch, text, limit):
                 yield per_chunk(part)
 
     return df.mapInArrow(run, schema)

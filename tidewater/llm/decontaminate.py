@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bytes_np as B
-from tidewater.llm.common import mapped
+from tidewater.llm.common import CHUNK_BYTES, mapped
 
 U64 = np.uint64
-RATE, Q, GRAM_BITS = 0.1, 6, 22
-WALKS, TABLES, SAMPLED = 6, 10, 4
+RATE, Q, GRAM_BITS = 0.08, 8, 22
+WALKS, TABLES, SAMPLED = 4, 12, 5
 #: Items of a block: about so many bytes at most. Items shorter than SHORTEST bytes (normalised) match nothing.
 BLOCK_BYTES, SHORTEST = 1 << 21, 24
 CLASS_RATIO = 1.25
@@ -71,7 +71,8 @@ class Items:
     ids: list[int]
     texts: list[bytes]
     classes: list[tuple[int, int, list[int]]]  # shortest, longest, items
-    grams: np.ndarray
+    slots: list[np.ndarray]  # of each item's Q-grams
+    grams: list[np.ndarray]  # by class: which slots its items' Q-grams take, in bits
     keys: list[tuple[np.ndarray, np.ndarray]]  # by class: sorted keys and their items
 
 
@@ -86,26 +87,24 @@ def walk_bits(steps: int) -> np.ndarray:
 def lsh_keys(strings: np.ndarray, shortest: int, number: int) -> np.ndarray:
     """The WALKS * TABLES keys of each row of bytes (zeros behind its end), for a class of items.
 
-    A walk moves on at every second step on average, so 2 * shortest steps stay within an item.
+    A walk moves on at every second step on average, so 2 * shortest steps stay within an item. All
+    walks of all rows go on together, a step at a time.
     """
     steps = 2 * shortest
-    bits = walk_bits(steps)
-    rng = np.random.default_rng(1009 + number)
-    places = rng.integers(0, steps, (WALKS, TABLES, SAMPLED))
-    rows = np.arange(len(strings))
+    bits = walk_bits(steps).transpose(1, 0, 2).reshape(steps, -1)
+    places = np.random.default_rng(1009 + number).integers(0, steps, (WALKS, TABLES, SAMPLED))
+    wanted = [np.flatnonzero((places == j).any(2).ravel()) for j in range(int(places.max()) + 1)]
+    width = strings.shape[1]
+    flat, base = strings.ravel(), np.arange(len(strings))[:, None] * width
+    at = np.zeros((len(strings), WALKS), np.int64)
+    lane = np.arange(WALKS) * 256
     out = np.zeros((len(strings), WALKS * TABLES), U64)
-    for walk in range(WALKS):
-        at = np.zeros(len(strings), np.int64)
-        wanted: dict[int, list[int]] = {}
-        for t in range(TABLES):
-            for p in places[walk, t].tolist():
-                wanted.setdefault(p, []).append(t)
-        for j in range(max(wanted) + 1):
-            x = strings[rows, at]
-            for t in wanted.get(j, ()):
-                column = walk * TABLES + t
-                out[:, column] = out[:, column] * U64(0x9E3779B97F4A7C15) + x + U64(j + 1)
-            at = np.minimum(at + bits[walk, j][x], strings.shape[1] - 1)
+    for j, columns in enumerate(wanted):
+        x = flat[base + at]
+        if len(columns):
+            out[:, columns] = out[:, columns] * U64(0x9E3779B97F4A7C15) + x[:, columns // TABLES] + U64(j + 1)
+        at += bits[j][lane + x]
+        np.minimum(at, width - 1, out=at)
     return B.mix(out * U64(0xD1342543DE82EF95) + np.arange(WALKS * TABLES, dtype=U64))
 
 
@@ -115,20 +114,22 @@ def index(ids: list[int], texts: list[str | None]) -> Items:
     used = [i for i, t in enumerate(plain) if len(t) >= SHORTEST]
     used.sort(key=lambda i: (len(plain[i]), i))
     ids, plain = [ids[i] for i in used], [plain[i] for i in used]
-    grams = np.zeros(1 << GRAM_BITS, bool)
     classes: list[tuple[int, int, list[int]]] = []
+    slots = [gram_slots(np.frombuffer(t, np.uint8)) for t in plain]
     for i, t in enumerate(plain):
-        grams[gram_slots(np.frombuffer(t, np.uint8))] = True
         if not classes or len(t) > CLASS_RATIO * classes[-1][0]:
             classes.append((len(t), len(t), []))
         classes[-1] = (classes[-1][0], len(t), [*classes[-1][2], i])
-    keys = []
+    keys, grams = [], []
     for number, (shortest, longest, members) in enumerate(classes):
+        taken = np.zeros(1 << GRAM_BITS, bool)
+        taken[np.concatenate([slots[i] for i in members])] = True
+        grams.append(np.packbits(taken))
         table = lsh_keys(padded([plain[i] for i in members], longest), shortest, number)
         flat, who = table.ravel(), np.repeat(members, table.shape[1])
         order = np.argsort(flat, kind="stable")
         keys.append((flat[order], who[order]))
-    return Items(ids, plain, classes, np.packbits(grams), keys)
+    return Items(ids, plain, classes, slots, grams, keys)
 
 
 def padded(strings: list[bytes], width: int) -> np.ndarray:
@@ -173,10 +174,7 @@ def matches(column: pa.Array, items: Items) -> list[tuple[int, int, int, int, in
     slots = gram_slots(data)
     if not len(slots):
         return []
-    hit = np.zeros(len(data) + 1, np.int32)
-    bits = np.unpackbits(items.grams).view(bool)
-    hit[1 : len(slots) + 1] = bits[slots]
-    hits = np.cumsum(hit, dtype=np.int32)
+    hits = np.zeros(len(data) + 1, np.int32)
     word = np.ones(len(data), bool)
     word[1:] = data[:-1] == 32
     word[offsets[:-1][offsets[:-1] < len(data)]] = True
@@ -185,8 +183,23 @@ def matches(column: pa.Array, items: Items) -> list[tuple[int, int, int, int, in
     row = np.searchsorted(offsets, starts, side="right") - 1
     limit = offsets[1:][row]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+    def shares_grams(at: np.ndarray, most: int, wanted: np.ndarray) -> np.ndarray:
+        """The windows whose surroundings hold as many of this very item's Q-grams as a match must."""
+        m = len(wanted) + Q - 1
+        cells = np.maximum(starts[at] - most, offsets[:-1][row[at]])[:, None] + np.arange(m + 2 * most)[None]
+        there = (cells < limit[at][:, None]) & (cells < len(slots))
+        got = np.isin(slots[np.minimum(cells, len(slots) - 1)], wanted) & there
+        return at[got.sum(1) >= m - Q + 1 - Q * most]
+
+    def keep_best(r: int, item: int, found: tuple[int, int, int]) -> None:
+        if (r, item) not in best or found < best[r, item]:
+            best[r, item] = found
+
     for number, (shortest, longest, _) in enumerate(items.classes):
         d = edits(longest)
+        np.cumsum(np.unpackbits(items.grams[number])[slots], out=hits[1 : len(slots) + 1])
+        hits[len(slots) + 1 :] = hits[len(slots)]
         need = max(1, shortest - Q + 1 - Q * edits(shortest))
         stop = np.minimum(starts + longest + d, limit)
         inside = np.maximum(stop - Q + 1, starts)
@@ -210,6 +223,15 @@ def matches(column: pa.Array, items: Items) -> list[tuple[int, int, int, int, in
                 text = np.frombuffer(items.texts[item], np.uint8)
                 most = edits(len(text))
                 mine = pairs[pairs[:, 0] == item, 1]
+                # a verbatim stretch is as good as can be: the first one of a row settles it
+                fits = limit[mine] - starts[mine] >= len(text)
+                same = np.zeros(len(mine), bool)
+                same[fits] = (data[starts[mine[fits]][:, None] + np.arange(len(text))[None]] == text).all(1)
+                for at in mine[same].tolist():
+                    first = int(starts[at])
+                    keep_best(int(row[at]), item, (0, int(stood[first]), int(stood[first + len(text) - 1]) + 1))
+                open_rows = np.array([best.get((int(r), item), (1,))[0] > 0 for r in row[mine]], bool)
+                mine = shares_grams(mine[open_rows], most, items.slots[item])
                 for chunk in range(0, len(mine), 512):
                     at = mine[chunk : chunk + 512]
                     begin = np.maximum(offsets[:-1][row[at]], starts[at] - most)
@@ -218,10 +240,7 @@ def matches(column: pa.Array, items: Items) -> list[tuple[int, int, int, int, in
                     regions = np.where(cells < end[:, None], data[np.minimum(cells, len(data) - 1)], 0).astype(np.uint8)
                     got, until = distances(text, regions, end - begin, most)
                     for i in np.flatnonzero(got <= most).tolist():
-                        r, last = int(row[at[i]]), int(begin[i] + until[i])
-                        found = (int(got[i]), int(stood[starts[at[i]]]), int(stood[last - 1]) + 1)
-                        if (r, item) not in best or found < best[r, item]:
-                            best[r, item] = found
+                        keep_best(int(row[at[i]]), item, (int(got[i]), int(stood[starts[at[i]]]), int(stood[int(begin[i] + until[i]) - 1]) + 1))
     return sorted((r, item, *found) for (r, item), found in best.items())
 
 
@@ -246,7 +265,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in OUT.split(", ")])
 
-        return mapped(docs, OUT, run)
+        return mapped(docs, OUT, run, limit=2 * CHUNK_BYTES)
 
     for item in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         ids.append(item.item_id)
