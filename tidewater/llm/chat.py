@@ -26,7 +26,7 @@ TRAINED = "assistant"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), CONTROL, r"$0\\\\")
+    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), CONTROL, r"$0\\")
 
 
 def unescape(text: Column) -> Column:
