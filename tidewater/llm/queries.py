@@ -16,6 +16,7 @@ from tidewater.llm.near_dups import near_dup_groups
 from tidewater.llm.quality import quality
 from tidewater.llm.rules import quality_rules
 from tidewater.llm.sharding import assign
+from tidewater.llm.suffix_dedup import repeated_spans
 from tidewater.llm.toxicity import toxicity
 
 #: The conversation that the chat contract adds: what its texts say looks like another template's control strings.
@@ -61,8 +62,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_minhash_near_dups, op3_chat_format, op4_quality, op5_sharding, op6_quality_rules, op7_decontamination, op8_language_id, op9_source_mixing)
+    found = (op1_toxicity, op2_minhash_near_dups, op3_chat_format, op4_quality, op5_sharding, op6_quality_rules, op7_decontamination, op8_language_id, op9_source_mixing, op10_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
