@@ -32,7 +32,7 @@ from tidewater.llm.common import Scratch, bucket_count, chunks, small_batches
 from tidewater.llm.gsaca import ragged, suffix_arrays
 
 U64 = np.uint64
-SPAN, K = 50, 26
+SPAN, K = 50, 20
 #: Text bytes of a bucket, letters of a lane, and letters of all lanes sorted at once.
 BUCKET_BYTES, LANE, LANES = 8 << 20, 1024, 1 << 20
 #: A packed row: `at` is where it goes; the rest are arrays as bytes.
@@ -42,6 +42,16 @@ SCHEMA = pa.schema([(name, pa.int32() if kind == "int" else pa.binary()) for nam
 FOUND, OWNED = 0, 1
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of an array, all lowest ones first: high bytes of small numbers lie together and shrink to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def numbers(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def pack(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], SCHEMA.field(i).type) for i in range(len(SCHEMA))], schema=SCHEMA)
 
@@ -86,7 +96,6 @@ def spread(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             value, first, count = anchors(data, offsets)
             row = np.searchsorted(offsets, first, side="right") - 1
             doc = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            print_of = part.column("_print").to_numpy(zero_copy_only=False).astype(np.int64)
             at = (first - offsets[:-1][row]).astype(np.uint32)
             bucket = (value % U64(buckets)).astype(np.int64)
             order = np.lexsort((doc[row], value))
@@ -109,27 +118,25 @@ def spread(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 for some in np.split(by, edges):
                     if len(some):
                         r, start, n = np.unique(row[some], return_index=True, return_counts=True)
-                        docs = np.stack([doc[r], print_of[r]], 1)
                         low = np.ascontiguousarray(key[some].view(np.uint8).reshape(-1, 8)[:, :5])
-                        rows.append((int(bucket[some[0]]), kind, 0, docs.tobytes(), n.astype(np.int32).tobytes(), low.tobytes(), at[some].tobytes(), count[some].astype(np.uint8).tobytes(), b""))
+                        rows.append((int(bucket[some[0]]), kind, 0, planes(doc[r]), planes(n.astype(np.int32)), low.tobytes(), planes(at[some]), count[some].astype(np.uint8).tobytes(), b""))
             if rows:
                 yield pack(rows)
 
 
 def unpack(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    """(doc and print, key, place, windows) of all entries of packed rows."""
+    """(doc, key, place, windows) of all entries of packed rows."""
     docs, keys, at, count = [], [], [], []
     for r in rows:
-        pairs = np.frombuffer(r["docs"], np.int64).reshape(-1, 2)
-        docs.append(np.repeat(pairs, np.frombuffer(r["counts"], np.int32), axis=0))
+        docs.append(np.repeat(numbers(r["docs"], np.int64), numbers(r["counts"], np.int32)))
         five = np.frombuffer(r["a"], np.uint8).reshape(-1, 5)
         wide = np.zeros((len(five), 8), np.uint8)
         wide[:, :5] = five
         keys.append(wide.view(U64).ravel())
-        at.append(np.frombuffer(r["b"], np.uint32))
+        at.append(numbers(r["b"], np.uint32))
         count.append(np.frombuffer(r["c"], np.uint8))
     join = lambda x, empty: np.concatenate(x) if x else empty
-    return join(docs, np.zeros((0, 2), np.int64)), join(keys, np.zeros(0, U64)), join(at, np.zeros(0, np.uint32)), join(count, np.zeros(0, np.uint8))
+    return join(docs, np.zeros(0, np.int64)), join(keys, np.zeros(0, U64)), join(at, np.zeros(0, np.uint32)), join(count, np.zeros(0, np.uint8))
 
 
 def by_place(batches: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
@@ -156,11 +163,11 @@ def compare(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
 
     def handle(at: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         docs, keys, place, count = unpack([r for r in rows if r["kind"] == FOUND])
-        order = np.lexsort((docs[:, 0], keys))
+        order = np.lexsort((docs, keys))
         lead = np.ones(len(order), bool)
         lead[1:] = keys[order[1:]] != keys[order[:-1]]
         group = np.cumsum(lead) - 1
-        who = docs[order, 0]
+        who = docs[order]
         several = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
         several[group[who != who[lead][group]]] = True
         chosen = np.sort(order[several[group]])
@@ -168,16 +175,16 @@ def compare(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         docs, keys, place, count = (np.concatenate([x[chosen], y]) for x, y in zip((docs, keys, place, count), more))
         if not len(docs):
             return
-        goes = place_of(np.ascontiguousarray(docs[:, 0]), buckets)
-        order = np.lexsort((place, docs[:, 1], docs[:, 0], goes))
+        goes = place_of(docs, buckets)
+        order = np.lexsort((place, docs, goes))
         out = []
         for some in np.split(order, np.flatnonzero(np.diff(goes[order])) + 1):
-            pairs = docs[some]
+            own = docs[some]
             new = np.ones(len(some), bool)
-            new[1:] = (pairs[1:] != pairs[:-1]).any(1)
+            new[1:] = own[1:] != own[:-1]
             heads = np.flatnonzero(new)
             low = np.ascontiguousarray(keys[some].view(np.uint8).reshape(-1, 8)[:, :5])
-            out.append((int(goes[some[0]]), FOUND, at, pairs[heads].tobytes(), np.diff(np.append(heads, len(some))).astype(np.int32).tobytes(), low.tobytes(), place[some].tobytes(), count[some].tobytes(), b""))
+            out.append((int(goes[some[0]]), FOUND, at, planes(own[heads]), planes(np.diff(np.append(heads, len(some))).astype(np.int32)), low.tobytes(), planes(place[some]), count[some].tobytes(), b""))
         yield pack(out)
 
     yield from by_place(batches, handle)
@@ -192,24 +199,22 @@ def cut_outs(texts: pa.Table, rows: list[dict]):
     column = texts.column("text").combine_chunks() if isinstance(texts.column("text"), pa.ChunkedArray) else texts.column("text")
     data, offsets = B.text_buffer(column)
     doc = texts.column("doc_id").to_numpy().astype(np.int64)
-    prints = texts.column("_print").to_numpy().astype(np.int64)
     docs, keys, place, count = unpack(rows)
     source = np.repeat(np.array([r["source"] for r in rows], np.int64), [len(r["c"]) for r in rows])
-    # entries name documents by id and text; every row that has both takes part
-    name = np.ascontiguousarray(np.stack([doc, prints], 1)).view([("d", np.int64), ("p", np.int64)]).ravel()
-    order = np.argsort(name, kind="stable")
-    entry = np.ascontiguousarray(docs).view(name.dtype).ravel()
-    ranked = name[order]
-    low, high = np.searchsorted(ranked, entry, "left"), np.searchsorted(ranked, entry, "right")
+    # every row of a doc_id takes part: a cut-out that another text of the same id named holds true windows all the same
+    order = np.argsort(doc, kind="stable")
+    low, high = np.searchsorted(doc[order], docs, "left"), np.searchsorted(doc[order], docs, "right")
     times = high - low
-    pick = np.repeat(np.arange(len(entry)), times)
+    pick = np.repeat(np.arange(len(docs)), times)
     row = order[ragged(low, times)] if len(pick) else np.zeros(0, np.int64)
+    inside = place[pick].astype(np.int64) + count[pick] + SPAN - 1 <= np.diff(offsets)[row]
+    pick, row = pick[inside], row[inside]
     key, src, at, windows = keys[pick], source[pick], place[pick].astype(np.int64), count[pick].astype(np.int64)
     size = windows + SPAN - 1
     begin = offsets[:-1][row] + at
     prefix = B.prefix_hash(data)
     content = B.span_hash(prefix, begin, begin + size) if len(begin) else np.zeros(0, U64)
-    order2 = np.lexsort((at, prints[row], doc[row], content, key, src))
+    order2 = np.lexsort((row, at, doc[row], content, key, src))
     same = np.zeros(len(order2), bool)
     a, b = order2[1:], order2[:-1]
     same[1:] = (src[a] == src[b]) & (key[a] == key[b]) & (content[a] == content[b]) & (size[a] == size[b])
@@ -238,9 +243,8 @@ def send_cut_outs(key, texts: pa.Table, rows: pa.Table) -> pa.Table:
         for some in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(src)) + 1):
             if len(some):
                 low = np.ascontiguousarray(keys[some].view(np.uint8).reshape(-1, 8)[:, :5])
-                spots = data[ragged(begin[some], size[some])].tobytes()
-                owners = np.stack([least[some], most[some]], 1)
-                out.append((int(src[some[0]]), FOUND, at, owners.tobytes(), some.astype(np.int32).tobytes(), low.tobytes(), b"", size[some].astype(np.uint8).tobytes(), spots))
+                spots = pa.compress(data[ragged(begin[some], size[some])].tobytes(), codec="zstd", asbytes=True)
+                out.append((int(src[some[0]]), FOUND, at, planes(least[some]), planes(some.astype(np.int32)), low.tobytes(), planes(most[some]), size[some].astype(np.uint8).tobytes(), spots))
     return pa.Table.from_batches([pack(out)], SCHEMA) if out else SCHEMA.empty_table()
 
 
@@ -325,13 +329,14 @@ def find_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: r["source"])
         n = [len(r["c"]) for r in rows]
         back = np.repeat([r["source"] for r in rows], n)
-        local = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows])
-        pairs = np.concatenate([np.frombuffer(r["docs"], np.int64).reshape(-1, 2) for r in rows])
+        local = np.concatenate([numbers(r["counts"], np.int32) for r in rows])
+        smallest = np.concatenate([numbers(r["docs"], np.int64) for r in rows])
+        greatest = np.concatenate([numbers(r["b"], np.int64) for r in rows])
         keys = np.zeros((len(local), 8), np.uint8)
         keys[:, :5] = np.concatenate([np.frombuffer(r["a"], np.uint8).reshape(-1, 5) for r in rows])
         keys = keys.view(U64).ravel()
         size = np.concatenate([np.frombuffer(r["c"], np.uint8) for r in rows]).astype(np.int64)
-        data = np.frombuffer(b"".join(r["d"] for r in rows), np.uint8)
+        data = np.frombuffer(b"".join(pa.decompress(r["d"], int(np.frombuffer(r["c"], np.uint8).sum(dtype=np.int64)), codec="zstd", asbytes=True) for r in rows), np.uint8)
         begin = np.cumsum(size) - size
         content = B.span_hash(B.prefix_hash(data), begin, begin + size)
         order = np.lexsort((size, content, keys))
@@ -341,7 +346,7 @@ def find_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = order[new]
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
-        least = np.minimum.reduceat(pairs[order, 0], np.flatnonzero(new))
+        least = np.minimum.reduceat(smallest[order], np.flatnonzero(new))
         group = np.cumsum(np.concatenate([[True], keys[heads][1:] != keys[heads][:-1]])) - 1
         windows = size[heads] - SPAN + 1
         first = np.concatenate([[0], np.cumsum(windows)])
@@ -360,14 +365,14 @@ def find_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.diff(run_first)[kind]
         which = np.repeat(np.arange(len(kind)), times)
         run = ragged(run_first[kind], times)
-        useful = owner[run_at[run]] < pairs[which, 1]
+        useful = owner[run_at[run]] < greatest[which]
         which, run = which[useful], run[useful]
         start = run_at[run] - first[kind[which]]
         stop = run_end[run] - first[kind[which]]
         out = []
         for some in np.split(np.arange(len(which)), np.flatnonzero(np.diff(back[which])) + 1):
             if len(some):
-                out.append((int(back[which[some[0]]]), OWNED, at, b"", local[which[some]].astype(np.int32).tobytes(), owner[run_at[run[some]]].astype(np.int64).tobytes(), start[some].astype(np.uint8).tobytes(), stop[some].astype(np.uint8).tobytes(), b""))
+                out.append((int(back[which[some[0]]]), OWNED, at, b"", planes(local[which[some]].astype(np.int32)), planes(owner[run_at[run[some]]].astype(np.int64)), start[some].astype(np.uint8).tobytes(), stop[some].astype(np.uint8).tobytes(), b""))
         if out:
             yield pack(out)
 
@@ -387,8 +392,8 @@ def removal(texts: pa.Table, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np
     _, (number, row, at), (data, offsets, doc) = cut_outs(texts, found)
     depth = np.zeros(len(data) + 1, np.int32)
     if owned:
-        local = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in owned]).astype(np.int64)
-        owner = np.concatenate([np.frombuffer(r["a"], np.int64) for r in owned])
+        local = np.concatenate([numbers(r["counts"], np.int32) for r in owned]).astype(np.int64)
+        owner = np.concatenate([numbers(r["a"], np.int64) for r in owned])
         start = np.concatenate([np.frombuffer(r["b"], np.uint8) for r in owned]).astype(np.int64)
         stop = np.concatenate([np.frombuffer(r["c"], np.uint8) for r in owned]).astype(np.int64)
         first = np.searchsorted(number, np.arange(int(number[-1]) + 2))
@@ -422,9 +427,9 @@ def trimmed(key, texts: pa.Table, rows: pa.Table) -> pa.Table:
     return pa.table({"doc_id": texts.column("doc_id"), "kept": pa.array(kept, pa.binary())})
 
 
-def _swept(scratch: Scratch, df: DataFrame) -> DataFrame:
-    """A written table, after which the driver lets go of the shuffles that made it."""
-    out = scratch.cut(df)
+def _swept(scratch: Scratch, make) -> DataFrame:
+    """The table that make() plans, written; after that the driver lets go of the shuffles that made it."""
+    out = scratch.cut(make())
     gc.collect()
     scratch.spark._jvm.System.gc()
     return out
@@ -435,21 +440,23 @@ def _by_document(docs: DataFrame, function, schema: str) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_print")).where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     buckets = bucket_count(docs, BUCKET_BYTES)
     arrange = lambda df: df.repartition(buckets, "at").sortWithinPartitions("at")
-    shared = _swept(scratch, arrange(docs.mapInArrow(lambda it: spread(it, buckets), PACKED)).mapInArrow(lambda it: compare(it, buckets), PACKED))
+    shared = _swept(scratch, lambda: arrange(docs.mapInArrow(lambda it: spread(it, buckets), PACKED)).mapInArrow(lambda it: compare(it, buckets), PACKED))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = place_of(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), buckets)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], ["at", *batch.schema.names])
 
-    texts = docs.mapInArrow(placed, "at int, doc_id long, text string, _print long").repartition(buckets, "at").groupBy("at")
-    sent = texts.cogroup(shared.repartition(buckets, "at").groupBy("at")).applyInArrow(send_cut_outs, PACKED)
-    owned = _swept(scratch, arrange(sent).mapInArrow(find_owners, PACKED))
+    def texts():
+        return docs.mapInArrow(placed, "at int, doc_id long, text string").repartition(buckets, "at").groupBy("at")
+    owned = _swept(
+        scratch, lambda: arrange(texts().cogroup(shared.repartition(buckets, "at").groupBy("at")).applyInArrow(send_cut_outs, PACKED)).mapInArrow(find_owners, PACKED)
+    )
     known = shared.unionAll(owned)
-    return texts.cogroup(known.repartition(buckets, "at").groupBy("at")).applyInArrow(function, schema)
+    return texts().cogroup(known.repartition(buckets, "at").groupBy("at")).applyInArrow(function, schema)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
