@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewater.plans import changes, functions, relational, windows
+from tidewater.plans.runner import oracles, runnable
+
+ALL = [*relational.QUERIES, *windows.QUERIES, *functions.QUERIES, *changes.QUERIES]
+
 
 def queries() -> dict:
-    return {}
+    return runnable(ALL) | changes.DIRECT
 
 
 def oracle_sql() -> dict:
-    return {}
+    return oracles(ALL) | changes.DIRECT_ORACLES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best customers by what they ordered."""
+    return queries()["top_n"](spark, sf_dir)
