@@ -312,7 +312,7 @@ def targets_of(s: Session, table: Table, parts: list[str], columns: list[str] |
 def full_rows(s: Session, table: Table, targets: list[Column], df: DataFrame, kinds: list[t.Type]) -> tuple[DataFrame, int | None]:
     """df's columns, by position, as rows of the table; the next identity value."""
     df = df.toDF(*[f"_v{i}" for i in range(len(targets))])
-    given = {c.name.lower(): cast(Binder(s), Typed(f"_v{i}", k), c.type).sql for i, (c, k) in enumerate(zip(targets, kinds))}
+    given = {c.name.lower(): cast(Binder(s), Typed(f"_v{i}", k), t.unbounded(c.type)).sql for i, (c, k) in enumerate(zip(targets, kinds))}
     given = {n: f"CAST({sql} AS {table.column(n).type.spark()})" for n, sql in given.items()}
     next_identity = table.next_identity
     identity = next((c for c in table.columns if c.identity), None)
