@@ -216,3 +216,10 @@ def test_statement_clock_and_seed(engine, spark):
     assert one(engine, "SELECT CASE WHEN GETDATE() = SYSDATETIME() THEN 1 END AS same") == [(1,)]
     a, b = Engine(spark, seed=9), Engine(spark, seed=9)
     assert one(a, "SELECT NEWID() i, RAND() r") == one(b, "SELECT NEWID() i, RAND() r")
+
+
+def test_dataframes_as_arguments(engine, spark):
+    engine.exec("CREATE TABLE t (a INT, b VARCHAR(5))")
+    assert engine.default.bulk_load("t", spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")) == 2
+    engine.default.bind_table("@p", spark.range(3))
+    assert one(engine, "SELECT COUNT(*) AS n FROM t JOIN @p p ON p.id = t.a") == [(2,)]

@@ -22,6 +22,8 @@ def _len(b, s):
 @fn("datalength")
 def _datalength(b, x):
     fixed = {"bit": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 8, "money": 8, "smallmoney": 4, "date": 3, "time": 5, "datetime": 8, "decimal": 17, "uniqueidentifier": 16, "datetimeoffset": 10}
+    if x.type.name == "vector":
+        return Typed(f"(size({x}) * 4)", t.INT)
     if x.type.name in fixed:
         return Typed(f"IF({x} IS NULL, CAST(NULL AS INT), {fixed[x.type.name]})", t.INT)
     wide = " * 2" if x.type.name in ("nchar", "nvarchar", "ntext", "sysname") else ""

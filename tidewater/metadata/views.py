@@ -259,10 +259,10 @@ def column_rows(s):
         for i, c in enumerate(columns):
             number = TYPE_IDS.get(shown_type(c.type), 231)
             size = bytes_of(c.type)
-            yield (x.id, c.name, i + 1, number, number, size if size is not None else -1, numbers(c.type)[0] or 0, numbers(c.type)[2] or 0, c.nullable, bool(c.identity), c.computed is not None, "SQL_Latin1_General_CP1_CI_AS" if c.type.is_string else None)
+            yield (x.id, c.name, i + 1, number, number, size if size is not None else -1, numbers(c.type)[0] or 0, numbers(c.type)[2] or 0, c.nullable, bool(c.identity), c.computed is not None, "SQL_Latin1_General_CP1_CI_AS" if c.type.is_string else None, *((c.type.length, 0, "float32") if c.type.name == "vector" else (None, None, None)))
 
 
-COLUMN = "object_id:i name:s column_id:i system_type_id:i user_type_id:i max_length:i precision:i scale:i is_nullable:b is_identity:b is_computed:b collation_name:s"
+COLUMN = "object_id:i name:s column_id:i system_type_id:i user_type_id:i max_length:i precision:i scale:i is_nullable:b is_identity:b is_computed:b collation_name:s vector_dimensions:i vector_base_type:i vector_base_type_desc:s"
 for _name in ("columns", "all_columns"):
     VIEWS["sys", _name] = (COLUMN, column_rows)
 VIEWS["sys", "view_columns"] = (COLUMN, lambda s: [r for r in column_rows(s) if any(v.id == r[0] for v in s.catalog.views.values())])
@@ -391,6 +391,16 @@ def _(s):
     return [(x.id, x.login, x.host, x.app, "running", len(x.transactions)) for x in s.engine.sessions.values()]
 
 
+@view("sys", "dm_exec_requests", "session_id:i status:s command:s database_id:i")
+def _(s):
+    return [(s.id, "running", "SELECT", 1)]
+
+
+@view("sys", "dm_exec_connections", "session_id:i net_transport:s auth_scheme:s")
+def _(s):
+    return [(x.id, "TCP", "SQL") for x in s.engine.sessions.values()]
+
+
 @view("sys", "server_principals", "name:s principal_id:i type:s type_desc:s")
 def _(s):
     return [("sa", 1, "S", "SQL_LOGIN"), ("sysadmin", 3, "R", "SERVER_ROLE")]
@@ -424,7 +434,7 @@ def _(s):
 #: Views that never have rows here: their columns alone.
 EMPTY = """filetables periods xml_indexes xml_schema_collections column_encryption_keys column_master_keys column_encryption_key_values internal_tables
 partition_functions partition_parameters partition_schemes allocation_units destination_data_spaces edge_constraints assembly_modules assembly_types system_sql_modules
-stats stats_columns extended_properties dm_os_host_info dm_os_sys_info dm_db_index_usage_stats dm_db_index_physical_stats dm_exec_requests dm_exec_connections
+stats stats_columns extended_properties dm_os_host_info dm_os_sys_info dm_db_index_usage_stats dm_db_index_physical_stats
 server_role_members availability_replicas availability_groups dm_hadr_database_replica_states database_mirroring master_files database_files database_permissions
 database_role_members change_tracking_tables fulltext_indexes fulltext_index_columns fulltext_catalogs""".split()
 for _name in EMPTY:
