@@ -72,7 +72,7 @@ class Items:
     texts: list[bytes]
     classes: list[tuple[int, int, list[int]]]  # shortest, longest, items
     slots: list[np.ndarray]  # of each item's Q-grams
-    grams: list[np.ndarray]  # by class: which slots its items' Q-grams take, in bits
+    grams: list[np.ndarray]  # for each eight classes: by slot, the classes whose items have such a Q-gram, in bits
     keys: list[tuple[np.ndarray, np.ndarray]]  # by class: sorted keys and their items
 
 
@@ -122,9 +122,9 @@ def index(ids: list[int], texts: list[str | None]) -> Items:
         classes[-1] = (classes[-1][0], len(t), [*classes[-1][2], i])
     keys, grams = [], []
     for number, (shortest, longest, members) in enumerate(classes):
-        taken = np.zeros(1 << GRAM_BITS, bool)
-        taken[np.concatenate([slots[i] for i in members])] = True
-        grams.append(np.packbits(taken))
+        if number % 8 == 0:
+            grams.append(np.zeros(1 << GRAM_BITS, np.uint8))
+        grams[-1][np.concatenate([slots[i] for i in members])] |= 1 << number % 8
         table = lsh_keys(padded([plain[i] for i in members], longest), shortest, number)
         flat, who = table.ravel(), np.repeat(members, table.shape[1])
         order = np.argsort(flat, kind="stable")
@@ -198,7 +198,9 @@ def matches(column: pa.Array, items: Items) -> list[tuple[int, int, int, int, in
 
     for number, (shortest, longest, _) in enumerate(items.classes):
         d = edits(longest)
-        np.cumsum(np.unpackbits(items.grams[number])[slots], out=hits[1 : len(slots) + 1])
+        if number % 8 == 0:
+            held = items.grams[number // 8][slots]
+        np.cumsum((held >> number % 8) & 1, out=hits[1 : len(slots) + 1])
         hits[len(slots) + 1 :] = hits[len(slots)]
         need = max(1, shortest - Q + 1 - Q * edits(shortest))
         stop = np.minimum(starts + longest + d, limit)
