@@ -518,6 +518,55 @@ def with_ctes(s: Session, node: Node) -> Node:
     return Node(node.kind, **{k: rebuild(v, change) for k, v in node.__dict__.items() if k not in ("kind", "ctes", "target")}, target=node.target)
 
 
+def plain_change(s: Session, node: Node, table: Table, parts: list[str], event: str, columns: set[str]) -> bool:
+    """Whether a statement changes rows by themselves alone: one projection or filter of the table does it, without a join."""
+    from tidewater.tsql.ast import walk
+
+    if node.from_ is not None or node.top is not None or node.output is not None or s.options["rowcount"]:
+        return False
+    if any(n.kind in ("subquery", "exists", "quantified", "nextval") or n.query is not None for x in [node.where, *(node.sets or [])] if x is not None for n in walk(x)):
+        return False
+    if any(x.variable for x in node.sets or []) or any(triggers_of(s, table, event, True)) or any(triggers_of(s, table, event, False)):
+        return False
+    if not parts[-1].startswith(("#", "@")) and any(event == "delete" or {c.lower() for c in rule.target} & columns for _, _, rule in children(s, table)):
+        return False
+    return not any(rule.type != "check" and {c.lower() for c in rule.columns} & columns for rule in table.constraints)
+
+
+def plain_update(s: Session, node: Node, table: Table, parts: list[str], sets: list) -> int:
+    binder, label = Binder(s), parts[-1]
+    scope = Scope([Source(label, [(c.name, c.type, f"{name(label)}.{name(c.name)}") for c in table.columns])])
+    hit = boolean(binder.expr(node.where, scope, Env())) if node.where is not None else "TRUE"
+    new = {}
+    for c, x in sets:
+        expr = (c.default if c.default is not None else Node("lit", value=None, type="null")) if x.expr.kind == "default" else x.expr
+        e = binder.expr(expr, scope, Env())
+        if x.op != "=":
+            e = binder.arithmetic(x.op[0], scope.find([label, c.name]), e)
+        new[c.name] = f"CASE WHEN {hit} THEN CAST({cast(binder, e, t.unbounded(c.type))} AS {c.type.spark()}) ELSE {name(label)}.{name(c.name)} END"
+    shown = ", ".join(f"{new.get(c.name, f'{name(label)}.{name(c.name)}')} AS {name(c.name)}" for c in table.columns if c.computed is None)
+    source = f"FROM {name(table.view)} AS {name(label)}"
+    rows = s.run(f"SELECT {shown}, {name(label)}.{RID} AS {RID} {source}")
+    check_rows(s, table, arranged(s, s.run(f"SELECT {shown}, {name(label)}.{RID} AS {RID} {source} WHERE {hit}"), table.columns))
+    for c, _ in sets:
+        if c.type.name in ("char", "nchar") and c.type.length:
+            rows = rows.withColumn(c.name, F.rpad(F.col(name(c.name)), c.type.length, " "))
+    df = s.engine.store.write(arranged(s, rows, table.columns))
+    s.replace(parts, table.with_(df=df, view=s.engine.view(df)))
+    return int(s.scalar(f"SELECT count(*) {source} WHERE {hit}"))
+
+
+def plain_delete(s: Session, node: Node, table: Table, parts: list[str]) -> int:
+    label = parts[-1]
+    scope = Scope([Source(label, [(c.name, c.type, f"{name(label)}.{name(c.name)}") for c in table.columns])])
+    hit = boolean(Binder(s).expr(node.where, scope, Env())) if node.where is not None else "TRUE"
+    source = f"FROM {name(table.view)} AS {name(label)}"
+    df = s.engine.store.write(s.run(f"SELECT * {source} WHERE NOT coalesce({hit}, FALSE)"))
+    gone = int(s.scalar(f"SELECT count(*) {source} WHERE {hit}"))
+    s.replace(parts, table.with_(df=df, view=s.engine.view(df)))
+    return gone
+
+
 def update(interp, node: Node) -> Result:
     s = interp.s
     node = with_ctes(s, node)
@@ -532,6 +581,9 @@ def update(interp, node: Node) -> Result:
             raise SqlError(f"The column \"{c.name}\" cannot be modified because it is either a computed column or is the result of a UNION operator.", 271)
         if c.identity:
             raise SqlError(f"Cannot update identity column '{c.name}'.", 8102)
+    if alias is None and plain_change(s, node, table, parts, "update", {c.name.lower() for c, _ in sets}):
+        s._rows = plain_update(s, node, table, parts, sets)
+        return Result(count=s._rows)
 
     def shown(binder, scope, env):
         label = alias or parts[-1]
@@ -574,6 +626,9 @@ def delete(interp, node: Node) -> Result:
     parts, alias = aliased(s, node)
     table = owned(s, s.table(parts))
     s.replace(parts, table)
+    if alias is None and plain_change(s, node, table, parts, "delete", set()):
+        s._rows = plain_delete(s, node, table, parts)
+        return Result(count=s._rows)
     rids = s.run(matched(s, node, table, parts, alias, lambda *a: ()))
     if any(triggers_of(s, table, "delete", True)) and not s.changed:
         lost = table.df.join(rids.distinct(), RID, "left_semi").select(*[F.col(name(c.name)).alias(f"d_{c.name}") for c in table.columns])
@@ -601,6 +656,54 @@ def truncate(interp, node: Node) -> None:
 # MERGE
 
 
+def plain_merge(s: Session, node: Node, table: Table, parts: list[str]) -> bool:
+    """Whether a MERGE's new version can be made in one pass: nothing but row rules looks at what it changes."""
+    if node.output is not None or any(c.identity for c in table.columns) or any(rule.type != "check" for rule in table.constraints):
+        return False
+    if any(any(triggers_of(s, table, event, instead)) for event in ("insert", "update", "delete") for instead in (True, False)):
+        return False
+    return parts[-1].startswith(("#", "@")) or not any(True for _ in children(s, table))
+
+
+def merge_at_once(s: Session, node: Node, table: Table, parts: list[str], whole: DataFrame, both: Scope, label: str) -> int:
+    """The new version from the joined rows: each keeps, changes, drops or adds a row of the table."""
+    binder = Binder(s)
+    branches: dict[str, list[str]] = {c.name: [] for c in table.columns if c.computed is None}
+    for i, c in enumerate(node.clauses):
+        if c.action == "update":
+            pairs = [(table.column(x.column), x.expr, x.op) for x in c.sets]
+        elif c.action == "insert":
+            targets = targets_of(s, table, parts, c.columns)
+            if len(c.values or []) != len(targets):
+                raise SqlError("Column name or number of supplied values does not match table definition.", 213)
+            given = dict(zip((x.name for x in targets), c.values))
+            default = lambda x: x.default if x.default is not None else Node("lit", value=None, type="null")
+            pairs = [(x, given.get(x.name, default(x)), "=") for x in table.columns if x.computed is None]
+        else:
+            continue
+        for column, expr, op in pairs:
+            if expr.kind == "default":
+                expr = column.default if column.default is not None else Node("lit", value=None, type="null")
+            e = binder.expr(expr, both, Env())
+            if op != "=":
+                e = binder.arithmetic(op[0], both.find([label, column.name]), e)
+            branches[column.name].append(f"WHEN _clause = {i} THEN CAST({cast(binder, e, t.unbounded(column.type))} AS {column.type.spark()})")
+    doomed = [i for i, c in enumerate(node.clauses) if c.action == "delete"]
+    stays = whole.where(F.col(RID).isNotNull() | F.col("_clause").isNotNull())
+    if doomed:
+        stays = stays.where(f"NOT coalesce(_clause IN ({', '.join(map(str, doomed))}), FALSE)")
+    cells = [F.expr(f"CASE {' '.join(b)} ELSE {name(f'd_{c}')} END" if b else name(f"d_{c}")).alias(c) for c, b in branches.items()]
+    changed = stays.where("_clause IS NOT NULL").select(*cells)
+    check_rows(s, table, arranged(s, changed, table.columns))
+    rows = arranged(s, stays.select(*cells), table.columns)
+    for c in table.columns:
+        if c.type.name in ("char", "nchar") and c.type.length:
+            rows = rows.withColumn(c.name, F.rpad(F.col(name(c.name)), c.type.length, " "))
+    df = s.engine.store.segment(rows)
+    s.replace(parts, table.with_(df=df, view=s.engine.view(df)))
+    return whole.where("_clause IS NOT NULL").count()
+
+
 def merge(interp, node: Node) -> Result:
     """One full outer join of target and source; each row's first fitting clause decides."""
     s = interp.s
@@ -632,8 +735,12 @@ def merge(interp, node: Node) -> Result:
     for i, c in enumerate(node.clauses):
         test = when[c.when] + (f" AND {boolean(binder.expr(c.test, both, Env()))}" if c.test is not None else "")
         tests.append(f"WHEN {test} THEN {i}")
-    decided = s.engine.store.write(joined.withColumn("_clause", F.expr(f"CASE {' '.join(tests)} END")).where("_clause IS NOT NULL"))
+    whole = s.engine.store.write(joined.withColumn("_clause", F.expr(f"CASE {' '.join(tests)} END")))
+    decided = whole.where("_clause IS NOT NULL")
     changing = [i for i, c in enumerate(node.clauses) if c.action != "insert"]
+    if plain_merge(s, node, table, parts) and not whole.where(F.col(RID).isNotNull()).groupBy(RID).count().where("count > 1").take(1):
+        s._rows = merge_at_once(s, node, table, parts, whole, both, label)
+        return Result(count=s._rows)
     if changing and decided.where(F.col("_clause").isin(changing) & F.col(RID).isNotNull()).groupBy(RID).count().where("count > 1").take(1):
         raise SqlError("The MERGE statement attempted to UPDATE or DELETE the same row more than once.", MERGE_CONFLICT)
     deltas, extra_columns = [], [c for src in flat for _, _, c in src.columns]
