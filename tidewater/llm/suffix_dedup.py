@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -428,10 +429,15 @@ def trimmed(key, texts: pa.Table, rows: pa.Table) -> pa.Table:
 
 
 def _swept(scratch: Scratch, make) -> DataFrame:
-    """The table that make() plans, written; after that the driver lets go of the shuffles that made it."""
+    """The table that make() plans, written; after that the driver lets go of the shuffles that made it.
+
+    The gateway tells the JVM of dropped objects within a second, so the JVM's collection waits for that.
+    """
     out = scratch.cut(make())
-    gc.collect()
-    scratch.spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.6)
+        scratch.spark._jvm.System.gc()
     return out
 
 
