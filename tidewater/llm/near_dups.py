@@ -190,7 +190,8 @@ def near_dup_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     candidates = shared.unionAll(leads.select(F.col("doc_id").alias("a"), F.explode("links").alias("b")))
     families = scratch.cut(components(scratch, candidates))
     sizes = families.join(leads.select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node").groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("members"))
-    sizes = sizes.select("component", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_DOCS)).cast("int").alias("blocks"))
+    # written, so that the join's sides are plain exchanges, of which a hot family's can be split
+    sizes = scratch.cut(sizes.select("component", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_DOCS)).cast("int").alias("blocks")))
     members = families.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     texts = docs.join(members, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or other <> block")
     pairs = texts.select("doc_id", "text", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
