@@ -80,7 +80,8 @@ def learn_profiles(docs: DataFrame, mod: int, remainder: int) -> tuple[list[str]
     """(languages, sorted n-grams of all profiles, the rank of each in each language's profile, or RANKS)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(mod, remainder)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     sizes = docs.where(F.col("lang").isNotNull() & ~held_out(mod, remainder)).groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n"))
-    sample = known.join(sizes, "lang").where(sample_below("n", PER_LANGUAGE) | F.col("doc_id").isNull()).select("lang", "text")
+    # as few rows as there are languages, and fewer than the profiles below, which are collected
+    sample = known.join(F.broadcast(sizes), "lang").where(sample_below("n", PER_LANGUAGE) | F.col("doc_id").isNull()).select("lang", "text")
     counts = mapped(sample, "lang string, gram long, n long", count_grams).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("place", place).where(F.col("place") <= RANKS).select("lang", "gram", "place").toPandas()
