@@ -62,16 +62,22 @@ def measure(docs: DataFrame) -> DataFrame:
     bare = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("_words"), lines.alias("_lines"), bare.alias("_bare"), F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).alias("_symbols"))
-    return base.select(
-        "doc_id",
-        F.size("_words").cast("long").alias("n_words"),
-        F.col("_bare").cast("long").alias("word_chars"),
-        F.col("_symbols").cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
+    facts = let(
+        words,
+        lambda w: let(
+            lines,
+            lambda x: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                bare.cast("long").alias("word_chars"),
+                F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+                (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+                repeated_words(w).cast("long").alias("n_repeat_words"),
+                F.size(x).cast("long").alias("n_lines"),
+            ),
+        ),
     )
+    # a generated row is computed once: no filter or projection above can pull the measuring into itself
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.array(facts)))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
