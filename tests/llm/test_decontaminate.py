@@ -83,3 +83,33 @@ def test_rows(spark):
     row = contaminated(docs.where("doc_id = 5"), bench.where("item_id = 10")).first()
     text = docs.where("doc_id = 5").first().text.encode()
     assert text[row.start_byte : row.end_byte].decode() == item
+
+
+def edited(rng, item, places):
+    """The item with a letter replaced, put in or left out at each place; words stay words."""
+    t = list(item)
+    for p in sorted(places, reverse=True):
+        kind = rng.randrange(3)
+        if kind == 0 and t[p] != " ":
+            t[p] = "z"
+        elif kind == 1 and t[p - 1 : p + 2].count(" ") == 0:
+            del t[p]
+        else:
+            t.insert(p, "z")
+    return "".join(t)
+
+
+def sized(rng, length):
+    return words(rng, length)[:length].rstrip().ljust(length, "q")
+
+
+def test_edited_rows_are_found_at_every_length():
+    rng = random.Random(11)
+    items = [sized(rng, n) for n, count in ((100, 12), (200, 12), (400, 12), (800, 8), (1600, 6), (3200, 4)) for _ in range(count)]
+    held = index(list(range(len(items))), items)
+    texts = [f"{words(rng, 20)} {edited(rng, x, rng.sample(range(len(x)), int(RATE * len(x))))} {words(rng, 20)}" for x in items]
+    found = matches(pa.array(texts), held)
+    assert sorted((r, held.ids[i]) for r, i, *_ in found) == [(i, i) for i in range(len(items))]
+    for r, i, d, begin, end in found:
+        assert d <= RATE * len(held.texts[i])
+        assert len(held.texts[i]) > 400 or d == levenshtein(held.texts[i], texts[r].encode()[begin:end])

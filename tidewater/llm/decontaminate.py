@@ -1,17 +1,18 @@
-"""Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: seeds by the pigeonhole principle, q-gram counts, exact edit verification.
 
 Texts and items are normalised alike: A-Z lower-cased, runs of anything but letters, digits and bytes
 over 127 become one blank. A document holds an item if some stretch of it is within RATE * length edits.
 
-1. A stretch within d edits of an item of m bytes shares m - Q + 1 - Q d of its Q-grams, so windows of
-   an item's size that hold fewer Q-grams of any item are left out; this loses nothing.
-2. Windows that remain, one a word, are embedded: a random walk reads byte x[i] at step j, writes it and
-   moves on if a random bit for (j, x[i]) says so. Edit distance becomes Hamming distance, as walks meet
-   again behind an edit. WALKS walks are each sampled in TABLES tables of SAMPLED places; a window and an
-   item that agree in one table are a candidate.
-3. Each candidate is verified by the exact edit distance between the item and the best stretch there.
+1. An item that may take d edits is cut into d + 1 pieces, of which d edits leave one as it was. The first
+   bytes of each piece are looked up at every byte of a text, whatever its script or blanks; where they
+   stand, they say where the item would begin.
+2. A stretch within d edits of an item of m bytes shares m - Q + 1 - Q d of its Q-grams, so candidates
+   whose surroundings hold fewer of this very item's Q-grams are left out.
+3. Each candidate that remains is verified by the exact edit distance between the item and the best
+   stretch there.
 
-Items are read in blocks of bounded size, so what travels to the workers doesn't grow with them.
+Neither of the first two steps loses a match, at any length of item. Items are read in blocks of bounded
+size, so what travels to the workers doesn't grow with them.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from tidewater.llm.common import CHUNK_BYTES, mapped
 
 U64 = np.uint64
 RATE, Q, GRAM_BITS = 0.08, 8, 22
-WALKS, TABLES, SAMPLED = 4, 12, 5
+#: Bytes of a piece that are looked up, at most, and how many candidates are held at once.
+PIECE, HELD = 9, 1 << 20
 #: Items of a block: about so many bytes at most. Items shorter than SHORTEST bytes (normalised) match nothing.
 BLOCK_BYTES, SHORTEST = 1 << 21, 24
-CLASS_RATIO = 1.25
 OUT = "doc_id long, item_id long, distance int, item_bytes int, start_byte long, end_byte long"
 
 
@@ -55,194 +56,187 @@ def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data[keep], total[offsets], (np.arange(len(data)) - row_start)[keep]
 
 
-def gram_slots(data: np.ndarray) -> np.ndarray:
-    """A slot for each Q-gram (of Q bytes from here on)."""
-    n = len(data) - Q + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    h = np.zeros(n, U64)
-    for k in range(Q):
-        h = (h << U64(8)) | data[k : k + n].astype(U64)
-    return (B.mix(h) >> U64(64 - GRAM_BITS)).astype(np.int64)
+def gram_keys(data: np.ndarray, sizes: set[int]) -> dict[int, np.ndarray]:
+    """For each size a key of each run of so many bytes (from here on)."""
+    out, h = {}, np.zeros(len(data), U64)
+    for k in range(max(sizes, default=0)):
+        h = h[: max(0, len(data) - k)] * U64(0x9E3779B97F4A7C15) + data[k:].astype(U64) + U64(1)
+        if k + 1 in sizes:
+            out[k + 1] = B.mix(h)
+    return out
+
+
+def slots_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> U64(64 - GRAM_BITS)).astype(np.int32)
 
 
 @dataclass
 class Items:
     ids: list[int]
     texts: list[bytes]
-    classes: list[tuple[int, int, list[int]]]  # shortest, longest, items
     slots: list[np.ndarray]  # of each item's Q-grams
-    grams: list[np.ndarray]  # for each eight classes: by slot, the classes whose items have such a Q-gram, in bits
-    keys: list[tuple[np.ndarray, np.ndarray]]  # by class: sorted keys and their items
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by bytes looked up: slots taken; sorted keys, their items and places there
 
 
 def edits(length: int) -> int:
     return int(RATE * length)
 
 
-def walk_bits(steps: int) -> np.ndarray:
-    return np.random.default_rng(97).integers(0, 2, (WALKS, steps, 256), dtype=np.uint8)
-
-
-def lsh_keys(strings: np.ndarray, shortest: int, number: int) -> np.ndarray:
-    """The WALKS * TABLES keys of each row of bytes (zeros behind its end), for a class of items.
-
-    A walk moves on at every second step on average, so 2 * shortest steps stay within an item. All
-    walks of all rows go on together, a step at a time.
-    """
-    steps = 2 * shortest
-    bits = walk_bits(steps).transpose(1, 0, 2).reshape(steps, -1)
-    places = np.random.default_rng(1009 + number).integers(0, steps, (WALKS, TABLES, SAMPLED))
-    wanted = [np.flatnonzero((places == j).any(2).ravel()) for j in range(int(places.max()) + 1)]
-    width = strings.shape[1]
-    flat, base = strings.ravel(), np.arange(len(strings))[:, None] * width
-    at = np.zeros((len(strings), WALKS), np.int64)
-    lane = np.arange(WALKS) * 256
-    out = np.zeros((len(strings), WALKS * TABLES), U64)
-    for j, columns in enumerate(wanted):
-        x = flat[base + at]
-        if len(columns):
-            out[:, columns] = out[:, columns] * U64(0x9E3779B97F4A7C15) + x[:, columns // TABLES] + U64(j + 1)
-        at += bits[j][lane + x]
-        np.minimum(at, width - 1, out=at)
-    return B.mix(out * U64(0xD1342543DE82EF95) + np.arange(WALKS * TABLES, dtype=U64))
-
-
 def index(ids: list[int], texts: list[str | None]) -> Items:
     data, offsets, _ = normalised(pa.array(texts, pa.string()))
     plain = [data[a:b].tobytes().rstrip(b" ") for a, b in zip(offsets[:-1], offsets[1:])]
     used = [i for i, t in enumerate(plain) if len(t) >= SHORTEST]
     used.sort(key=lambda i: (len(plain[i]), i))
     ids, plain = [ids[i] for i in used], [plain[i] for i in used]
-    classes: list[tuple[int, int, list[int]]] = []
-    slots = [gram_slots(np.frombuffer(t, np.uint8)) for t in plain]
+    slots, seeds = [], {}
     for i, t in enumerate(plain):
-        if not classes or len(t) > CLASS_RATIO * classes[-1][0]:
-            classes.append((len(t), len(t), []))
-        classes[-1] = (classes[-1][0], len(t), [*classes[-1][2], i])
-    keys, grams = [], []
-    for number, (shortest, longest, members) in enumerate(classes):
-        if number % 8 == 0:
-            grams.append(np.zeros(1 << GRAM_BITS, np.uint8))
-        grams[-1][np.concatenate([slots[i] for i in members])] |= 1 << number % 8
-        table = lsh_keys(padded([plain[i] for i in members], longest), shortest, number)
-        flat, who = table.ravel(), np.repeat(members, table.shape[1])
-        order = np.argsort(flat, kind="stable")
-        keys.append((flat[order], who[order]))
-    return Items(ids, plain, classes, slots, grams, keys)
-
-
-def padded(strings: list[bytes], width: int) -> np.ndarray:
-    out = np.zeros((len(strings), width + 1), np.uint8)
-    for i, s in enumerate(strings):
-        out[i, : min(len(s), width)] = np.frombuffer(s[:width], np.uint8)
+        count = edits(len(t)) + 1
+        size = min(PIECE, len(t) // count)
+        keys = gram_keys(np.frombuffer(t, np.uint8), {Q, size})
+        slots.append(slots_of(keys[Q]))
+        places = np.arange(count) * len(t) // count
+        seeds.setdefault(size, []).append((keys[size][places], np.full(count, i), places))
+    pieces = {}
+    for size, found in seeds.items():
+        keys, who, places = (np.concatenate(x) for x in zip(*found))
+        taken = np.zeros(1 << GRAM_BITS, bool)
+        taken[slots_of(keys)] = True
+        order = np.argsort(keys, kind="stable")
+        pieces[size] = (taken, keys[order], who[order], places[order])
+    return Items(ids, plain, slots, pieces)
+
+
+def letter_bits(item: bytes) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for c in set(item):
+        out[c] = int(bytes(48 + (x == c) for x in reversed(item)), 2)
+    return out
+
+
+def scores(bits: dict[int, int], m: int, text: bytes, anchored: bool) -> list[int]:
+    """Edits between the item and the best stretch that ends behind each byte of text, or (anchored) all of text up to there.
+
+    Myers' bit vectors: a column of the table of edits is two numbers of m bits.
+    """
+    full, top, edge = (1 << m) - 1, 1 << (m - 1), int(anchored)
+    up, down, score, out = full, 0, m, []
+    for c in text:
+        same = bits.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        if more & top:
+            score += 1
+        elif less & top:
+            score -= 1
+        same |= down
+        more, less = (more << 1 | edge) & full, (less << 1) & full
+        up, down = less | (full & ~(same | more)), more & same
+        out.append(score)
     return out
 
 
 def distances(item: np.ndarray, regions: np.ndarray, real: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(edit distance between the item and the best stretch of each region, where that stretch ends).
+    """(edit distance between the item and the best stretch of each region, where that stretch begins and ends).
 
-    Regions are rows of bytes, of which the first `real` count. A band around the diagonal holds every
-    alignment of at most `most` edits whose stretch starts within 2 * most bytes of the region's start.
+    Regions are rows of bytes, of which the first `real` count. Of the stretches of least distance it is
+    the one that ends first, then the longest; the beginning is looked for where the distance is at most `most`.
+    """
+    text, m = item.tobytes(), len(item)
+    ahead, back = letter_bits(text), letter_bits(text[::-1])
+    got, spans = np.full(len(regions), m, np.int64), np.zeros((len(regions), 2), np.int64)
+    for i, n in enumerate(real.tolist()):
+        region = regions[i, :n].tobytes()
+        found = scores(ahead, m, region, False)
+        got[i] = min(found, default=m)
+        if got[i] <= most and found:
+            end = found.index(got[i]) + 1
+            before = scores(back, m, region[max(0, end - m - most) : end][::-1], True)
+            spans[i] = end - 1 - max(j for j, x in enumerate(before) if x == got[i]), end
+    return got, spans
+
+
+def candidates(keys: dict[int, np.ndarray], offsets: np.ndarray, items: Items) -> np.ndarray:
+    """(item, row, place) for each place of a row where an item may begin, sorted.
+
+    Places are counted in steps of step(edits) bytes, the first of them `edits` bytes before the row.
     """
-    m, band = len(item), 4 * most + 1
-    rows = np.arange(band, dtype=np.int32)
-    far = np.int32(1 << 20)
-    # cell k of row i stands for column i + k - most of the region
-    before = np.where(rows[None] - most >= 0, 0, far).astype(np.int32).repeat(len(regions), 0)
-    before[(rows[None] - most) > real[:, None]] = far
-    wide = np.concatenate([np.zeros((len(regions), most + 1), np.uint8), regions, np.zeros((len(regions), band + m), np.uint8)], 1)
-    for i in range(1, m + 1):
-        column = i + rows - most
-        letters = wide[:, i : i + band]  # the byte before column i + k - most
-        now = before + (letters != item[i - 1])
-        now[:, :-1] = np.minimum(now[:, :-1], before[:, 1:] + 1)
-        bad = (column[None] < 0) | (column[None] > real[:, None])
-        now[bad] = far
-        now = np.minimum.accumulate(now - rows, 1) + rows
-        now[bad] = far
-        edge = np.flatnonzero(column == 0)
-        now[:, edge] = np.minimum(now[:, edge], i)
-        before = now
-    best = before.argmin(1)
-    return before[np.arange(len(regions)), best], m + best - most
+    size = np.array([len(t) for t in items.texts], np.int64)
+    most = np.array([edits(len(t)) for t in items.texts], np.int64)
+    wide = int(np.diff(offsets).max() + 2 * most.max(initial=0)) + 1
+    rows, codes = len(offsets) - 1, [np.zeros(0, np.int64)]
+    for length, (taken, known, who, places) in items.pieces.items():
+        at = np.flatnonzero(taken[slots_of(keys[length])])
+        low = np.searchsorted(known, keys[length][at], side="left")
+        count = np.searchsorted(known, keys[length][at], side="right") - low
+        at, low, count = at[count > 0], low[count > 0], count[count > 0]
+        part = np.cumsum(count) // HELD
+        for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+            n = count[cut]
+            pick = np.repeat(low[cut] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            item, begin = who[pick], np.repeat(at[cut], n) - places[pick]
+            row = np.repeat(np.searchsorted(offsets, at[cut], side="right") - 1, n)
+            d = most[item]
+            fits = (begin >= offsets[row] - d) & (begin + size[item] <= offsets[row + 1] + d)
+            place = (begin - offsets[row] + d) // step(d)
+            codes.append(np.unique(((item * rows + row) * wide + place)[fits]))
+    code = np.unique(np.concatenate(codes))
+    return np.stack([code // wide // rows, code // wide % rows, code % wide], 1)
+
+
+def step(d):
+    """Candidates whose beginnings are this near are verified together."""
+    return np.maximum(d, 1)
 
 
 def matches(column: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]:
     """(row, item, distance, first byte, end) of the best stretch of each row for each item it holds."""
     data, offsets, stood = normalised(column)
-    slots = gram_slots(data)
-    if not len(slots):
+    if not len(data) or not items.ids:
         return []
-    hits = np.zeros(len(data) + 1, np.int32)
-    word = np.ones(len(data), bool)
-    word[1:] = data[:-1] == 32
-    word[offsets[:-1][offsets[:-1] < len(data)]] = True
-    word &= data != 32
-    starts = np.flatnonzero(word)
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    limit = offsets[1:][row]
+    keys = gram_keys(data, {Q, *items.pieces})
+    found, slots, mine_only = candidates(keys, offsets, items), slots_of(keys[Q]), np.zeros(1 << GRAM_BITS, bool)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
 
-    def shares_grams(at: np.ndarray, most: int, wanted: np.ndarray) -> np.ndarray:
-        """The windows whose surroundings hold as many of this very item's Q-grams as a match must."""
-        m = len(wanted) + Q - 1
-        cells = np.maximum(starts[at] - most, offsets[:-1][row[at]])[:, None] + np.arange(m + 2 * most)[None]
-        there = (cells < limit[at][:, None]) & (cells < len(slots))
-        got = np.isin(slots[np.minimum(cells, len(slots) - 1)], wanted) & there
-        return at[got.sum(1) >= m - Q + 1 - Q * most]
-
-    def keep_best(r: int, item: int, found: tuple[int, int, int]) -> None:
-        if (r, item) not in best or found < best[r, item]:
-            best[r, item] = found
-
-    for number, (shortest, longest, _) in enumerate(items.classes):
-        d = edits(longest)
-        if number % 8 == 0:
-            held = items.grams[number // 8][slots]
-        np.cumsum((held >> number % 8) & 1, out=hits[1 : len(slots) + 1])
-        hits[len(slots) + 1 :] = hits[len(slots)]
-        need = max(1, shortest - Q + 1 - Q * edits(shortest))
-        stop = np.minimum(starts + longest + d, limit)
-        inside = np.maximum(stop - Q + 1, starts)
-        near = (hits[inside] - hits[starts] >= need) & (limit - starts >= shortest - edits(shortest))
-        chosen = np.flatnonzero(near)
-        keys, who = items.keys[number]
-        for part in range(0, len(chosen), 8192):
-            some = chosen[part : part + 8192]
-            reach = starts[some][:, None] + np.arange(longest + 1)[None]
-            inside_row = reach < np.minimum(limit[some], starts[some] + longest)[:, None]
-            strings = np.where(inside_row, data[np.minimum(reach, len(data) - 1)], 0)
-            table = lsh_keys(strings, shortest, number)
-            low = np.searchsorted(keys, table.ravel(), side="left")
-            count = np.searchsorted(keys, table.ravel(), side="right") - low
-            full = np.flatnonzero(count)
-            if not len(full):
-                continue
-            pick = np.repeat(low[full] - np.concatenate([[0], np.cumsum(count[full])[:-1]]), count[full]) + np.arange(count[full].sum())
-            pairs = np.unique(np.stack([who[pick], some[np.repeat(full, count[full]) // table.shape[1]]], 1), axis=0)
-            for item in np.unique(pairs[:, 0]).tolist():
-                text = np.frombuffer(items.texts[item], np.uint8)
-                most = edits(len(text))
-                mine = pairs[pairs[:, 0] == item, 1]
-                # a verbatim stretch is as good as can be: the first one of a row settles it
-                fits = limit[mine] - starts[mine] >= len(text)
-                same = np.zeros(len(mine), bool)
-                same[fits] = (data[starts[mine[fits]][:, None] + np.arange(len(text))[None]] == text).all(1)
-                for at in mine[same].tolist():
-                    first = int(starts[at])
-                    keep_best(int(row[at]), item, (0, int(stood[first]), int(stood[first + len(text) - 1]) + 1))
-                open_rows = np.array([best.get((int(r), item), (1,))[0] > 0 for r in row[mine]], bool)
-                mine = shares_grams(mine[open_rows], most, items.slots[item])
-                for chunk in range(0, len(mine), 512):
-                    at = mine[chunk : chunk + 512]
-                    begin = np.maximum(offsets[:-1][row[at]], starts[at] - most)
-                    end = np.minimum(limit[at], starts[at] + len(text) + most)
-                    cells = begin[:, None] + np.arange(len(text) + 2 * most)[None]
-                    regions = np.where(cells < end[:, None], data[np.minimum(cells, len(data) - 1)], 0).astype(np.uint8)
-                    got, until = distances(text, regions, end - begin, most)
-                    for i in np.flatnonzero(got <= most).tolist():
-                        keep_best(int(row[at[i]]), item, (int(got[i]), int(stood[starts[at[i]]]), int(stood[int(begin[i] + until[i]) - 1]) + 1))
+    def keep_best(r: int, item: int, distance: int, begin: int, end: int) -> None:
+        new = (distance, int(stood[begin]), int(stood[end - 1]) + 1)
+        if (r, item) not in best or new < best[r, item]:
+            best[r, item] = new
+
+    def shares_grams(begin: np.ndarray, end: np.ndarray, wanted: np.ndarray, need: int) -> np.ndarray:
+        """Whether the bytes there hold as many of these Q-grams as a match must."""
+        mine_only[wanted] = True
+        reach = np.arange(int((end - begin).max()) - Q + 1)
+        out = [np.zeros(0, bool)]
+        for part in np.array_split(np.arange(len(begin)), 1 + len(begin) * len(reach) // HELD):
+            cells = begin[part, None] + reach
+            there = cells <= end[part, None] - Q
+            out.append((mine_only[slots[np.minimum(cells, len(slots) - 1)]] & there).sum(1) >= need)
+        mine_only[wanted] = False
+        return np.concatenate(out)
+
+    for group in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1) if len(found) else []:
+        item, rows = int(group[0, 0]), group[:, 1]
+        text = np.frombuffer(items.texts[item], np.uint8)
+        m, d = len(text), edits(len(text))
+        lead = offsets[rows] - d + group[:, 2] * step(d)
+        # a stretch begins within d bytes of one of the step(d) places from lead on
+        begin = np.maximum(lead - d, offsets[rows])
+        end = np.minimum(lead + step(d) - 1 + m + d, offsets[rows + 1])
+        near = np.flatnonzero(shares_grams(begin, end, items.slots[item], m - Q + 1 - Q * d))
+        rows, begin, end = rows[near], begin[near], end[near]
+        # a verbatim stretch is as good as can be: the first one of a row settles it
+        for r, a, b in zip(rows.tolist(), begin.tolist(), end.tolist()):
+            if (r, item) not in best and (at := data[a:b].tobytes().find(items.texts[item])) >= 0:
+                keep_best(r, item, 0, a + at, a + at + m)
+        left = np.flatnonzero([(r, item) not in best for r in rows.tolist()])
+        if not len(left):
+            continue
+        for some in np.array_split(left, 1 + len(left) * (m + 4 * d) // HELD):
+            cells = begin[some, None] + np.arange(int((end - begin)[some].max()))
+            regions = data[np.minimum(cells, len(data) - 1)]
+            got, spans = distances(text, regions, end[some] - begin[some], d)
+            for i in np.flatnonzero(got <= d).tolist():
+                keep_best(int(rows[some[i]]), item, int(got[i]), *(int(begin[some[i]]) + spans[i]).tolist())
     return sorted((r, item, *found) for (r, item), found in best.items())
 
 
