@@ -113,3 +113,17 @@ def test_edited_rows_are_found_at_every_length():
     for r, i, d, begin, end in found:
         assert d <= RATE * len(held.texts[i])
         assert len(held.texts[i]) > 400 or d == levenshtein(held.texts[i], texts[r].encode()[begin:end])
+
+
+def test_edits_at_every_step_of_the_allowance():
+    rng = random.Random(13)
+    items = [sized(rng, n) for n in range(24, 100)]
+    held, texts = index(list(range(len(items))), items), []
+    for x in items:
+        d = int(RATE * len(x))
+        t = list(x)
+        for k in range(d):  # evenly spread, so that as few q-grams as can be are left
+            t[(2 * k + 1) * len(x) // (2 * d)] = "z"
+        texts.append(f"{words(rng, 20)} {''.join(t)} {words(rng, 20)}")
+    found = matches(pa.array(texts), held)
+    assert sorted((r, held.ids[i]) for r, i, *_ in found) == [(i, i) for i in range(len(items))]
