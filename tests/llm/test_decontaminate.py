@@ -127,3 +127,15 @@ def test_edits_at_every_step_of_the_allowance():
         texts.append(f"{words(rng, 20)} {''.join(t)} {words(rng, 20)}")
     found = matches(pa.array(texts), held)
     assert sorted((r, held.ids[i]) for r, i, *_ in found) == [(i, i) for i in range(len(items))]
+
+
+def test_a_tenth_of_an_item_may_be_edited():
+    rng = random.Random(17)
+    item = sized(rng, 200)
+    held, texts = index([0], [item]), []
+    for n in (17, 20, 21):
+        t = list(item)
+        for k in range(n):
+            t[5 + 9 * k] = "z"
+        texts.append(f"{words(rng, 20)} {''.join(t)} {words(rng, 20)}")
+    assert [(r, d) for r, _, d, *_ in matches(pa.array(texts), held)] == [(0, 17), (1, 20)]
