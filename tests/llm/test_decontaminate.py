@@ -139,3 +139,14 @@ def test_a_tenth_of_an_item_may_be_edited():
             t[5 + 9 * k] = "z"
         texts.append(f"{words(rng, 20)} {''.join(t)} {words(rng, 20)}")
     assert [(r, d) for r, _, d, *_ in matches(pa.array(texts), held)] == [(0, 17), (1, 20)]
+
+
+def test_items_within_scripts_without_blanks():
+    rng = random.Random(19)
+    items = ["".join(chr(rng.randrange(first, first + 80)) for _ in range(40)) for first in (0x4E00, 0x3041, 0x0E01)]
+    before, behind = ("".join(chr(0x4E00 + rng.randrange(900)) for _ in range(300)) for _ in range(2))
+    texts = [f"{before}{x}{behind}" for x in items] + [f"{before}{x[:20]}\u3002{x[21:]}{behind}" for x in items] + [before + behind]
+    held = index([0, 1, 2], items)
+    found = sorted((r, held.ids[i], d == 0, texts[r].encode()[begin:end].decode()) for r, i, d, begin, end in matches(pa.array(texts), held))
+    assert [x[:3] for x in found] == [(0, 0, True), (1, 1, True), (2, 2, True), (3, 0, False), (4, 1, False), (5, 2, False)]
+    assert [x[3] for x in found[:3]] == items
