@@ -150,3 +150,12 @@ def test_items_within_scripts_without_blanks():
     found = sorted((r, held.ids[i], d == 0, texts[r].encode()[begin:end].decode()) for r, i, d, begin, end in matches(pa.array(texts), held))
     assert [x[:3] for x in found] == [(0, 0, True), (1, 1, True), (2, 2, True), (3, 0, False), (4, 1, False), (5, 2, False)]
     assert [x[3] for x in found[:3]] == items
+
+
+def test_short_items_are_found_verbatim_as_whole_words():
+    items = ["Who wrote Hamlet?", "\u8c01\u5199\u4e86\u7ea2\u697c\u68a6", "caf\u00e9", "who wrote hamlet", "?!", None]
+    held = index(list(range(len(items))), items)
+    texts = ["He asked: who wrote\n HAMLET? Who wrote Hamlet!", "who wrote hamlets", "xwho wrote hamlet", "\u8bf7\u95ee\u8c01\u5199\u4e86\u7ea2\u697c\u68a6\u5417", "a caf\u00e9", "caf\u00e9s \u00e9caf\u00e9", "who wrote", "hamlet", None, "who wrote hamlet"]
+    found = sorted((r, held.ids[i], d, texts[r].encode()[begin:end].decode()) for r, i, d, begin, end in matches(pa.array(texts), held))
+    first = "who wrote\n HAMLET"
+    assert found == [(0, 0, 0, first), (0, 3, 0, first), (3, 1, 0, items[1]), (4, 2, 0, items[2]), (9, 0, 0, items[3]), (9, 3, 0, items[3])]

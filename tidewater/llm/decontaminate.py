@@ -1,7 +1,8 @@
 """Benchmark decontamination: seeds by the pigeonhole principle, q-gram counts, exact edit verification.
 
 Texts and items are normalised alike: A-Z lower-cased, runs of anything but letters, digits and bytes
-over 127 become one blank. A document holds an item if some stretch of it is within RATE * length edits.
+over 127 become one blank. A document holds an item if some stretch of it is within RATE * length edits;
+an item of fewer than SHORTEST bytes (normalised) must stand there verbatim, as whole words.
 
 1. An item that may take d edits is cut into d + 1 pieces, of which d edits leave one as it was. The first
    bytes of each piece are looked up at every byte of a text, whatever its script or blanks; where they
@@ -31,7 +32,7 @@ U64 = np.uint64
 RATE, Q, GRAM_BITS = 0.1, 6, 22
 #: Bytes of a piece that are looked up, at most, and how many candidates are held at once.
 PIECE, HELD = 9, 1 << 20
-#: Items of a block: about so many bytes at most. Items shorter than SHORTEST bytes (normalised) match nothing.
+#: Items of a block: about so many bytes at most.
 BLOCK_BYTES, SHORTEST = 1 << 21, 24
 OUT = "doc_id long, item_id long, distance int, item_bytes int, start_byte long, end_byte long"
 
@@ -76,6 +77,7 @@ class Items:
     texts: list[bytes]
     slots: list[np.ndarray]  # of each item's Q-grams
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by bytes looked up: slots taken; sorted keys, their items and places there
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by bytes, of items under SHORTEST: sorted keys, their items
 
 
 def edits(length: int) -> int:
@@ -85,11 +87,15 @@ def edits(length: int) -> int:
 def index(ids: list[int], texts: list[str | None]) -> Items:
     data, offsets, _ = normalised(pa.array(texts, pa.string()))
     plain = [data[a:b].tobytes().rstrip(b" ") for a, b in zip(offsets[:-1], offsets[1:])]
-    used = [i for i, t in enumerate(plain) if len(t) >= SHORTEST]
+    used = [i for i, t in enumerate(plain) if t]
     used.sort(key=lambda i: (len(plain[i]), i))
     ids, plain = [ids[i] for i in used], [plain[i] for i in used]
-    slots, seeds = [], {}
+    slots, seeds, words = [], {}, {}
     for i, t in enumerate(plain):
+        if len(t) < SHORTEST:
+            slots.append(np.zeros(0, np.int32))
+            words.setdefault(len(t), []).append((gram_keys(np.frombuffer(t, np.uint8), {len(t)})[len(t)][0], i))
+            continue
         count = edits(len(t)) + 1
         size = min(PIECE, len(t) // count)
         keys = gram_keys(np.frombuffer(t, np.uint8), {Q, size})
@@ -103,7 +109,46 @@ def index(ids: list[int], texts: list[str | None]) -> Items:
         taken[slots_of(keys)] = True
         order = np.argsort(keys, kind="stable")
         pieces[size] = (taken, keys[order], who[order], places[order])
-    return Items(ids, plain, slots, pieces)
+    short = {size: (np.array([k for k, _ in sorted(found)], U64), np.array([i for _, i in sorted(found)])) for size, found in words.items()}
+    return Items(ids, plain, slots, pieces, short)
+
+
+def word_edges(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a word may begin or end before each byte (and behind the last): at rows' ends, at blanks, and
+    on both sides of a character of three bytes or more, as scripts of such characters have few blanks."""
+    out = np.zeros(len(data) + 1, bool)
+    out[offsets] = True
+    out[:-1] |= (data == 32) | (data >= 0xE0)
+    out[1:] |= data == 32
+    inner = (data & 0xC0) == 0x80
+    out[2:-1] |= inner[1:-1] & inner[:-2] & ~inner[2:]
+    return out
+
+
+def verbatim(data: np.ndarray, keys: dict[int, np.ndarray], offsets: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
+    """(row, item, first byte) of the first place of each row for each short item that it holds as whole words."""
+    out: list[tuple[int, int, int]] = []
+    if not items.short:
+        return out
+    edge = word_edges(data, offsets)
+    starts = np.flatnonzero(edge[:-1] & (data != 32))
+    for size, (known, who) in items.short.items():
+        at = starts[starts <= len(data) - size]
+        at = at[edge[at + size]]
+        row = np.searchsorted(offsets, at, side="right") - 1
+        at = at[at + size <= offsets[row + 1]]
+        low = np.searchsorted(known, keys[size][at], side="left")
+        count = np.searchsorted(known, keys[size][at], side="right") - low
+        at, low, count = at[count > 0], low[count > 0], count[count > 0]
+        item = who[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        at = np.repeat(at, count)
+        letters = np.frombuffer(b"".join(items.texts[i] for i in who), np.uint8).reshape(-1, size)
+        same = (data[at[:, None] + np.arange(size)] == letters[np.argsort(who)[np.searchsorted(np.sort(who), item)]]).all(1)
+        at, item = at[same], item[same]
+        row = np.searchsorted(offsets, at, side="right") - 1
+        _, first = np.unique(item * len(offsets) + row, return_index=True)
+        out += zip(row[first].tolist(), item[first].tolist(), at[first].tolist())
+    return out
 
 
 def letter_bits(item: bytes) -> dict[int, int]:
@@ -193,7 +238,7 @@ def matches(column: pa.Array, items: Items) -> list[tuple[int, int, int, int, in
     data, offsets, stood = normalised(column)
     if not len(data) or not items.ids:
         return []
-    keys = gram_keys(data, {Q, *items.pieces})
+    keys = gram_keys(data, {Q, *items.pieces, *items.short})
     found, slots, mine_only = candidates(keys, offsets, items), slots_of(keys[Q]), np.zeros(1 << GRAM_BITS, bool)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
 
@@ -214,6 +259,8 @@ def matches(column: pa.Array, items: Items) -> list[tuple[int, int, int, int, in
         mine_only[wanted] = False
         return np.concatenate(out)
 
+    for r, item, at in verbatim(data, keys, offsets, items):
+        keep_best(r, item, 0, at, at + len(items.texts[item]))
     for group in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1) if len(found) else []:
         item, rows = int(group[0, 0]), group[:, 1]
         text = np.frombuffer(items.texts[item], np.uint8)
@@ -244,9 +291,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, item_bytes, start_byte, end_byte) for each document and item that it holds.
 
     docs has doc_id and text, benchmark item_id and text. One row a document row and item: the stretch
-    of least distance, then the earliest; bytes are those of the document's text. Null, empty and very
-    short texts hold nothing and items of under SHORTEST bytes are held by nothing. Repeated documents or
-    items give repeated rows. Other columns are ignored; empty tables give an empty result.
+    of least distance, then the earliest; bytes are those of the document's text. Null and empty texts
+    hold nothing, items without letters or digits are held by nothing. Repeated documents or items give
+    repeated rows. Other columns are ignored; empty tables give an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found, ids, texts, held = None, [], [], 0
