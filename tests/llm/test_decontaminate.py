@@ -159,3 +159,11 @@ def test_short_items_are_found_verbatim_as_whole_words():
     found = sorted((r, held.ids[i], d, texts[r].encode()[begin:end].decode()) for r, i, d, begin, end in matches(pa.array(texts), held))
     first = "who wrote\n HAMLET"
     assert found == [(0, 0, 0, first), (0, 3, 0, first), (3, 1, 0, items[1]), (4, 2, 0, items[2]), (9, 0, 0, items[3]), (9, 3, 0, items[3])]
+
+
+def test_rows_that_share_an_id_are_dropped_by_themselves(spark):
+    rng = random.Random(23)
+    item, clean = words(rng, 30), words(rng, 60)
+    docs = spark.createDataFrame([(1, f"{clean} {item}", "a"), (1, clean, "b"), (2, item, None), (2, None, "c")], "doc_id long, text string, source string")
+    left = without_contaminated(docs, spark.createDataFrame([(10, item)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.text, r.source) for r in left.collect()) == [(1, clean, "b"), (2, None, "c")]

@@ -82,3 +82,10 @@ def test_components(spark):
     got = {r.node: r.component for r in components(Scratch(spark), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 0, 200: 200, 201: 200}
     assert components(Scratch(spark), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id_are_compared_by_themselves(spark):
+    one, two, three = "a b c d e f", "g h i j k l", "m n o p q r"
+    df = spark.createDataFrame([(7, one, "x", None, 1), (7, two, "y", None, 2), (3, two, "z", None, 3), (9, one, "w", None, 4), (9, three, "v", None, 5), (9, three, "v", None, 5)], SCHEMA).repartition(4)
+    left = without_near_dups(df)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(3, two), (7, one), (9, three)] and left.columns == df.columns

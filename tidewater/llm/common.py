@@ -13,6 +13,7 @@ import pyarrow.compute
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Functions of this package travel by value, so executors need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules["tidewater.llm"])
@@ -84,7 +85,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         yield batch.slice(start)
 
 
-def mapped(df: DataFrame, schema: str, per_chunk: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
+def mapped(df: DataFrame, schema: str | StructType, per_chunk: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """Applies `per_chunk` to the rows of df, a bounded number of text bytes at a time."""
     small_batches(df.sparkSession)
 

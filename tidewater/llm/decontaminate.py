@@ -18,7 +18,9 @@ size, so what travels to the workers doesn't grow with them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -296,11 +298,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeated rows. Other columns are ignored; empty tables give an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found, ids, texts, held = None, [], [], 0
-
-    def search(ids: list[int], texts: list[str | None]) -> DataFrame:
-        items = index(ids, texts)
 
+    def search(items: Items) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = matches(batch.column("text"), items)
             doc = batch.column("doc_id").to_pylist()
@@ -310,18 +309,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return mapped(docs, OUT, run, limit=2 * CHUNK_BYTES)
 
+    return reduce(DataFrame.unionAll, [search(items) for items in blocks(benchmark)])
+
+
+def blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The benchmark's items, so many bytes at a time; an empty benchmark is one empty block."""
+    ids, texts, held, count = [], [], 0, 0
     for item in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         ids.append(item.item_id)
         texts.append(item.text)
         held += len((item.text or "").encode())
         if held >= BLOCK_BYTES:
-            found = search(ids, texts) if found is None else found.unionAll(search(ids, texts))
-            ids, texts, held = [], [], 0
-    if found is None or ids:
-        found = search(ids, texts) if found is None else found.unionAll(search(ids, texts))
-    return found
+            yield index(ids, texts)
+            ids, texts, held, count = [], [], 0, count + 1
+    if ids or not count:
+        yield index(ids, texts)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item; rows without doc_id stay."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that hold an item, each judged by its own text; rows without doc_id stay."""
+
+    def clean(docs: DataFrame, items: Items) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = ~np.asarray(batch.column("doc_id").is_valid())
+            held = [r for r, *_ in matches(batch.column("text"), items)]
+            keep[np.setdiff1d(np.arange(len(keep)), held)] = True
+            return batch.filter(pa.array(keep))
+
+        return mapped(docs, docs.schema, run, limit=2 * CHUNK_BYTES)
+
+    return reduce(clean, blocks(benchmark), docs)

@@ -203,8 +203,18 @@ def near_dup_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def without_near_dups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group: the one of the least doc_id (rows without doc_id all stay)."""
-    gone = near_dup_groups(docs, words, percent).where("not kept").select("doc_id").distinct()
-    once = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.coalesce("text", F.lit(""))))
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_once", F.when(F.col("doc_id").isNotNull(), once).otherwise(F.concat(F.lit("t"), F.uuid())))
-    return left.dropDuplicates(["_once"]).drop("_once").select(docs.columns)
+    """docs with one row of each group: the one of the least doc_id (rows without doc_id all stay).
+
+    Rows that share a doc_id are told apart by a number of their own and compared like any others.
+    """
+    own = F.col("doc_id").cast("long")
+    if docs.where(own.isNotNull()).groupBy(own).count().where("count > 1").isEmpty():
+        gone = near_dup_groups(docs, words, percent).where("not kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # written with their numbers, which stay the same however often the rows are read
+    rows = Scratch(docs.sparkSession).cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    known = rows.where(own.isNotNull())
+    groups = near_dup_groups(known.select(F.col("_row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    places = known.select("_row", F.struct(own.alias("doc"), F.xxhash64("text").alias("text"), "_row").alias("place"))
+    kept = groups.join(places, "_row").groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place._row").alias("_row"))
+    return known.join(kept, "_row", "left_semi").unionByName(rows.where(own.isNull())).select(docs.columns)
