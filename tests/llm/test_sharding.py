@@ -1,8 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 
-from tidewater.llm.sharding import assign, matrix, sharded
+from tidewater.llm.sharding import assign, draw, matrix, sharded
 
 SCHEMA = "doc_id long, text string, shard string"
 
@@ -43,3 +44,13 @@ def test_rows_law(spark):
     assert whole.columns == ["doc_id", "text", "shard", "slot"]
     assert sorted((r.shard, r.slot) for r in whole.collect()) == sorted((r.shard, r.slot) for r in got)
     assert assign(df.limit(0), 40).count() == 0 and sharded(df.limit(0), 40).count() == 0
+
+
+def test_draws_from_large_populations_have_the_law():
+    rng = np.random.default_rng(3)
+    got = np.bincount([draw(rng, 10, 10**9, 5 * 10**7) for _ in range(4000)], minlength=11) / 4000
+    want = [math.comb(10, k) * 0.05**k * 0.95 ** (10 - k) for k in range(11)]  # as good as binomial there
+    assert np.abs(got - want).max() < 0.03
+    many = np.array([draw(rng, 25 * 10**6, 10**9, 1 << 18) for _ in range(2000)])
+    mean = (1 << 18) * 25 / 1025
+    assert abs(many.mean() - mean) < 8 and abs(many.std() - (mean * 1000 / 1025) ** 0.5) < 5

@@ -42,7 +42,11 @@ def matrix(parts: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """One hypergeometric draw. numpy's takes populations below 10**9; beyond, its normal limit is as good."""
+    """One hypergeometric draw. numpy's takes populations below 10**9; beyond, the law itself is inverted.
+
+    Its weights follow from one another by exact ratios. Those beyond 40 spreads and 64 rows from the
+    mean are below what a float can tell from nothing.
+    """
     low, high = max(0, n - bad), min(n, good)
     if low == high:
         return low
@@ -50,7 +54,12 @@ def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
         return int(rng.hypergeometric(good, bad, n))
     share = good / (good + bad)
     spread = np.sqrt(n * share * (1 - share) * (good + bad - n) / max(1, good + bad - 1))
-    return int(np.clip(round(rng.normal(n * share, spread)), low, high))
+    reach = 40 * spread + 64
+    k = np.arange(max(low, int(n * share - reach)), min(high, int(n * share + reach)) + 1)
+    ratios = np.log((good - k[:-1]) / k[1:]) + np.log((n - k[:-1]) / (bad - n + k[1:]))
+    logs = np.concatenate([[0.0], np.cumsum(ratios)])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[min(np.searchsorted(sums, rng.random() * sums[-1], side="right"), len(k) - 1)])
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 40) -> DataFrame:
