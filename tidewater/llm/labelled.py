@@ -17,8 +17,8 @@ def sample_below(count_column: str, bound: int):
     return F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * bound / F.greatest(F.col(count_column), F.lit(1))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, per_class: int, most_bytes: int) -> DataFrame:
-    """(doc_id, text, lang, y): about `per_class` labelled texts of each class, none longer than `most_bytes`.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, per_class: int) -> DataFrame:
+    """(doc_id, text, lang, y): about `per_class` labelled texts of each class, each whole.
 
     Rows that are held out, lack a label, a text or an id take no part; a document labelled twice
     counts with its larger label. The sampled labels are bounded by per_class, so they are broadcast.
@@ -27,7 +27,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, mod: int, rema
     counts = known.groupBy("y").agg(F.count("*").alias("n"))
     chosen = known.join(F.broadcast(counts), "y").where(sample_below("n", per_class)).select("doc_id", "y")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select("doc_id", "text", lang.alias("lang")).where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
+    texts = docs.select("doc_id", "text", lang.alias("lang")).where(F.col("text").isNotNull())
     return texts.join(F.broadcast(chosen), "doc_id")
 
 

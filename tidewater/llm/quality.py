@@ -1,10 +1,9 @@
 """Quality: a byte-level convolutional network in numpy.
 
-A text is covered from end to end by chunks of 256 bytes that overlap by half. Filters over 5
-bytes are learned as one table of bytes for each tap; a chunk's filter outputs are max-pooled and
-averaged, and joined by one plane that says how well the chunk matches itself at a lag of 2 to 32
-bytes. A hidden layer turns these into chunk features, which are max-pooled and averaged over the
-whole text and combined into one probability.
+A text is covered from end to end by chunks of 256 bytes that overlap by half. Filters over 5 bytes
+are learned as one table of bytes for each tap; a chunk's filter outputs are max-pooled, a hidden
+layer turns them into chunk features, and these are max-pooled over the whole text and combined into
+one probability. All weights start at random.
 """
 
 from __future__ import annotations
@@ -20,10 +19,12 @@ from tidewater.llm import bytes_np as B
 from tidewater.llm.common import mapped
 from tidewater.llm.labelled import Adam, best_threshold, held_out, sigmoid, training_rows
 
-HALF, TAPS, FILTERS, HIDDEN, LAGS = 128, 5, 8, 12, range(2, 33)
-#: The training sample: at most about so many labelled texts of each class, of so many bytes at most.
-PER_CLASS, MOST_BYTES = 1500, 1 << 14
-STEPS, BATCH = 400, 32
+HALF, TAPS, FILTERS, HIDDEN = 128, 5, 16, 12
+#: The training sample: at most about so many labelled texts of each class, each whole.
+PER_CLASS = 1500
+STEPS, BATCH, RATE, DECAY = 800, 32, 0.01, 1e-3
+#: Half-chunks whose filters are held at once, whatever the length of a text.
+SLAB = 1 << 12
 CUT = 0.3
 
 
@@ -33,100 +34,87 @@ class Model:
     shift: float
 
 
-def halves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes padded with zeros so that every text fills whole half-chunks, half-chunks before each text, bytes in each)."""
+def halves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes padded with zeros so that every text fills whole half-chunks, half-chunks before each text).
+
+    A text ends in TAPS - 1 zeros at least, so that peaks() can keep its filters from the next one.
+    """
     sizes = np.diff(offsets)
-    each = -(-sizes // HALF)
-    first = np.concatenate([[0], np.cumsum(each)])
-    out = np.zeros(int(first[-1]) * HALF + TAPS + LAGS[-1], np.uint8)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    out[np.arange(len(data)) - offsets[:-1][row] + first[:-1][row] * HALF] = data
-    filled = np.full(int(first[-1]), HALF)
-    some = sizes > 0
-    filled[first[1:][some] - 1] = sizes[some] - (each[some] - 1) * HALF
-    return out, first, filled
-
-
-def self_match(padded: np.ndarray, filled: np.ndarray) -> np.ndarray:
-    """For each half-chunk the largest share of its bytes that equal the byte a fixed lag behind."""
-    n = len(filled) * HALF
-    best = np.zeros(len(filled), np.float32)
-    if not n:
-        return best
-    real = padded[:n] > 0
-    for lag in LAGS:
-        same = (padded[:n] == padded[lag : n + lag]) & real
-        np.maximum(best, same.reshape(-1, HALF).sum(1, dtype=np.uint8), out=best)
-    return best / filled
-
-
-def filters(padded: np.ndarray, n: int, w: dict[str, np.ndarray]) -> np.ndarray:
-    z = w["taps"][0][padded[:n]]
-    for k in range(1, TAPS):
-        z += w["taps"][k][padded[k : n + k]]
-    return z
-
-
-def chunk_inputs(padded: np.ndarray, filled: np.ndarray, z: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs of every chunk (a half-chunk and its successor, if it is in the same text); whether it has one."""
-    h = len(filled)
-    cubes = z.reshape(h, HALF, FILTERS)
-    top = np.maximum(cubes.max(1), 0)
-    mean = np.maximum(cubes, 0).sum(1) / filled[:, None]
-    last = np.zeros(h, bool)
-    last[first[1:][np.diff(first) > 0] - 1] = True
-    follow = np.minimum(np.arange(h) + 1, h - 1)
-    pair = ~last
-    match = self_match(padded, filled)
-    both_top = np.where(pair[:, None], np.maximum(top, top[follow]), top)
-    size = filled + np.where(pair, filled[follow], 0)
-    both_mean = (mean * filled[:, None] + np.where(pair[:, None], mean[follow] * filled[follow][:, None], 0)) / size[:, None]
-    both_match = np.where(pair, np.maximum(match, match[follow]), match)
-    return np.concatenate([both_top, both_mean, both_match[:, None]], 1), pair
+    first = np.concatenate([[0], np.cumsum(np.where(sizes > 0, -(-(sizes + TAPS - 1) // HALF), 0))])
+    out = np.zeros(int(first[-1]) * HALF + TAPS, np.uint8)
+    for at, begin, size in zip((first * HALF).tolist(), offsets.tolist(), sizes.tolist()):
+        out[at : at + size] = data[begin : begin + size]
+    return out, first
+
+
+def peaks(padded: np.ndarray, first: np.ndarray, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(largest output, where in the half-chunk it stands) of every filter in every half-chunk."""
+    count, ends = int(first[-1]), first[1:][np.diff(first) > 0] - 1
+    top, at = np.zeros((count, FILTERS), np.float32), np.zeros((count, FILTERS), np.int64)
+    for a in range(0, count, SLAB):
+        n = min(SLAB, count - a) * HALF
+        z = w["taps"][0][padded[a * HALF : a * HALF + n]]
+        for k in range(1, TAPS):
+            z += w["taps"][k][padded[a * HALF + k : a * HALF + k + n]]
+        cubes = z.reshape(-1, HALF, FILTERS)
+        # what begins in the zeros behind a text has no byte of it
+        cubes[ends[(ends >= a) & (ends < a + len(cubes))] - a, HALF - TAPS + 1 :] = 0
+        at[a : a + len(cubes)] = cubes.argmax(1)
+        top[a : a + len(cubes)] = cubes.max(1)
+    return np.maximum(top, 0), at
+
+
+def chunks_of(top: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(filters of every chunk: a half-chunk and its successor, if it is in the same text; the successor; whether it has one)."""
+    follow = np.minimum(np.arange(len(top)) + 1, len(top) - 1)
+    pair = np.ones(len(top), bool)
+    pair[first[1:][np.diff(first) > 0] - 1] = False
+    return np.where(pair[:, None], np.maximum(top, top[follow]), top), follow, pair
 
 
 def pooled_parts(inputs: np.ndarray, w: dict[str, np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features of every text, none where it has no chunk; features of every chunk)."""
     hidden = np.tanh(inputs @ w["in"] + w["in_bias"])
     some = np.flatnonzero(np.diff(first))
-    out = np.zeros((len(first) - 1, 2 * HIDDEN))
+    out = np.zeros((len(first) - 1, HIDDEN), hidden.dtype)
     if len(some):
-        out[some, :HIDDEN] = np.maximum.reduceat(hidden, first[:-1][some], axis=0)
-        out[some, HIDDEN:] = np.add.reduceat(hidden, first[:-1][some], axis=0) / np.diff(first)[some][:, None]
+        out[some] = np.maximum.reduceat(hidden, first[:-1][some], axis=0)
     return out, hidden
 
 
 def logits(data: np.ndarray, offsets: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    padded, first, filled = halves(data, offsets)
-    if not len(filled):
-        return np.full(len(offsets) - 1, w["bias"][0])
-    inputs, _ = chunk_inputs(padded, filled, filters(padded, len(filled) * HALF, w), first)
+    padded, first = halves(data, offsets)
+    inputs, _, _ = chunks_of(peaks(padded, first, w)[0], first)
     return pooled_parts(inputs, w, first)[0] @ w["out"] + w["bias"][0]
 
 
-def train(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Model:
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def train(texts: list[bytes], y: np.ndarray, seed: int = 5, steps: int = STEPS) -> Model:
     """Every fifth text calibrates the threshold that 0.3 stands for and takes no part in the fit."""
     rng = np.random.default_rng(seed)
     w = {
-        "taps": rng.normal(0, 0.25, (TAPS, 256, FILTERS)).astype(np.float32),
-        "in": rng.normal(0, 0.3, (2 * FILTERS + 1, HIDDEN)),
-        "in_bias": np.zeros(HIDDEN),
-        "out": rng.normal(0, 0.2, 2 * HIDDEN),
-        "bias": np.zeros(1),
+        "taps": rng.normal(0, 0.1, (TAPS, 256, FILTERS)).astype(np.float32),
+        "in": rng.normal(0, 0.5, (FILTERS, HIDDEN)).astype(np.float32),
+        "in_bias": np.zeros(HIDDEN, np.float32),
+        "out": rng.normal(0, 0.3, HIDDEN).astype(np.float32),
+        "bias": np.zeros(1, np.float32),
     }
     w["taps"][:, 0] = 0
     use = np.arange(len(texts)) % 5 != 4
     usable = [np.flatnonzero(use & (y == c)) for c in (0, 1)]
     if all(len(u) for u in usable):
-        opt = Adam(w, 0.01)
-        for _ in range(STEPS):
+        opt = Adam(w, RATE)
+        for step in range(steps):
             picked = np.concatenate([rng.choice(u, BATCH // 2) for u in usable])
-            data = np.frombuffer(b"".join(texts[i] for i in picked), np.uint8)
-            offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in picked])])
-            opt.step(gradients(data, offsets, y[picked].astype(float), w))
+            opt.rate = RATE * (1 - 0.9 * step / steps)
+            opt.step(gradients(*joined([texts[i] for i in picked]), y[picked].astype(np.float32), w))
     held = np.flatnonzero(~use)
     shift = 0.0
     if len(held) and y[held].any() and not y[held].all():
-        p = sigmoid(np.array([logits(np.frombuffer(texts[i], np.uint8), np.array([0, len(texts[i])]), w)[0] for i in held]))
+        p = sigmoid(np.array([logits(*joined([texts[i]]), w)[0] for i in held]))
         # the threshold finds the rarer class; scores keep their order
         bad = 1 - y[held]
         t = 1 - best_threshold(1 - p, bad) if bad.sum() < y[held].sum() else best_threshold(p, y[held])
@@ -135,44 +123,29 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Model:
 
 
 def gradients(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    padded, first, filled = halves(data, offsets)
-    h, n = len(filled), len(filled) * HALF
-    z = filters(padded, n, w)
-    inputs, pair = chunk_inputs(padded, filled, z, first)
+    """Of the mean cross-entropy of these texts and the weights' decay. Maxima pass theirs on to where they stand alone."""
+    padded, first = halves(data, offsets)
+    top, at = peaks(padded, first, w)
+    inputs, follow, pair = chunks_of(top, first)
     pooled, hidden = pooled_parts(inputs, w, first)
     d = (sigmoid(pooled @ w["out"] + w["bias"][0]) - y) / len(y)
-    grads = {"out": pooled.T @ d + 1e-4 * w["out"], "bias": np.array([d.sum()])}
-    row = np.repeat(np.arange(len(y)), np.diff(first))
-    back = d[:, None] * w["out"][None]
-    peak = hidden == pooled[row, :HIDDEN]
-    back_hidden = np.where(peak, back[row, :HIDDEN], 0) + back[row, HIDDEN:] / np.diff(first)[row][:, None]
-    back_in = back_hidden * (1 - hidden**2)
-    grads["in"] = inputs.T @ back_in + 1e-4 * w["in"]
-    grads["in_bias"] = back_in.sum(0)
-    g = back_in @ w["in"].T
+    grads = {"out": pooled.T @ d + DECAY * w["out"], "bias": np.array([d.sum()], w["bias"].dtype)}
+    text = np.repeat(np.arange(len(y)), np.diff(first))
+    back = np.where(hidden == pooled[text], (d[:, None] * w["out"])[text], 0) * (1 - hidden**2)
+    grads["in"] = inputs.T @ back + DECAY * w["in"]
+    grads["in_bias"] = back.sum(0)
+    g = back @ w["in"].T
     # a half-chunk is part of its own chunk and of the one before it
-    follow = np.minimum(np.arange(h) + 1, h - 1)
-    cubes = z.reshape(h, HALF, FILTERS)
-    top = np.maximum(cubes.max(1), 0)
-    first_wins = ~pair[:, None] | (top >= top[follow])
-    g_top = np.where(first_wins, g[:, :FILTERS], 0)
-    np.add.at(g_top, follow[pair], np.where(~first_wins, g[:, :FILTERS], 0)[pair])
-    size = filled + np.where(pair, filled[follow], 0)
-    per_byte = g[:, FILTERS : 2 * FILTERS] / size[:, None]
-    g_mean = per_byte.copy()
-    np.add.at(g_mean, follow[pair], per_byte[pair])
-    gz = np.where(cubes > 0, g_mean[:, None, :], 0)
-    at = cubes.argmax(1)
-    rows, cols = np.nonzero(top > 0)
-    gz[rows, at[rows, cols], cols] += g_top[rows, cols]
-    gz = gz.reshape(n, FILTERS)
+    own = ~pair[:, None] | (top >= top[follow])
+    g_top = np.where(own, g, 0)
+    np.add.at(g_top, follow[pair], np.where(own, 0, g)[pair])
+    half, filter_ = np.nonzero((top > 0) & (g_top != 0))
+    place = half * HALF + at[half, filter_]
     taps = np.zeros_like(w["taps"])
     for k in range(TAPS):
-        order = padded[k : n + k]
-        for f in range(FILTERS):
-            taps[k, :, f] = np.bincount(order, gz[:, f], 256)
+        np.add.at(taps[k], (padded[place + k], filter_), g_top[half, filter_])
     taps[:, 0] = 0
-    grads["taps"] = taps + 1e-4 * w["taps"]
+    grads["taps"] = taps + DECAY * w["taps"]
     return grads
 
 
@@ -182,7 +155,7 @@ def score(model: Model, column: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int, remainder: int) -> Model:
-    rows = training_rows(docs, labels, "quality", mod, remainder, PER_CLASS, MOST_BYTES).select("doc_id", "text", "y").toPandas().sort_values("doc_id", kind="stable")
+    rows = training_rows(docs, labels, "quality", mod, remainder, PER_CLASS).select("doc_id", "text", "y").toPandas().sort_values("doc_id", kind="stable")
     return train([x.encode() for x in rows["text"]], rows["y"].to_numpy())
 
 
@@ -191,8 +164,9 @@ def quality(docs: DataFrame, labels: DataFrame, mod: int = 5, remainder: int = 0
 
     Learns from labels (doc_id, quality) of rows that aren't held out; without rows of both classes
     the network stays as it is initialised. Null and empty texts have no chunk and get the score of
-    the bias alone. Repeated rows are scored alike, other columns are ignored, an empty table gives an
-    empty one. The network has a fixed size, so it is broadcast.
+    the bias alone; a very long text is scored whole, SLAB half-chunks at a time. Repeated rows are
+    scored alike, other columns are ignored, an empty table gives an empty one. The network has a fixed
+    size, so it is broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(tuple(vars(fit(docs, labels, mod, remainder)).values()))
 
