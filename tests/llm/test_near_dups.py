@@ -89,3 +89,12 @@ def test_rows_that_share_an_id_are_compared_by_themselves(spark):
     df = spark.createDataFrame([(7, one, "x", None, 1), (7, two, "y", None, 2), (3, two, "z", None, 3), (9, one, "w", None, 4), (9, three, "v", None, 5), (9, three, "v", None, 5)], SCHEMA).repartition(4)
     left = without_near_dups(df)
     assert sorted((r.doc_id, r.text) for r in left.collect()) == [(3, two), (7, one), (9, three)] and left.columns == df.columns
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["_row", "row", "document", "place", "_once", "component_id", "a.b"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)
+    for ids in ((1, 2, 3), (1, 1, None)):
+        df = spark.createDataFrame([(d, t, *range(7)) for d, t in zip(ids, ("a b c d e f", "A b c d e f", "x y"))], schema)
+        out = without_near_dups(df)
+        assert out.columns == df.columns and [r[2:] for r in out.collect()] == [tuple(range(7))] * 2

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 
+from tidewater.llm import sharding
 from tidewater.llm.sharding import assign, draw, matrix, sharded
 
 SCHEMA = "doc_id long, text string, shard string"
@@ -54,3 +55,34 @@ def test_draws_from_large_populations_have_the_law():
     many = np.array([draw(rng, 25 * 10**6, 10**9, 1 << 18) for _ in range(2000)])
     mean = (1 << 18) * 25 / 1025
     assert abs(many.mean() - mean) < 8 and abs(many.std() - (mean * 1000 / 1025) ** 0.5) < 5
+
+
+def test_matrix_of_split_populations_has_the_law(monkeypatch):
+    monkeypatch.setattr(sharding, "LIMIT", 4)
+    many = [matrix([3, 2, 4, 1], 2, seed) for seed in range(3000)]
+    assert all(m.sum(1).tolist() == [3, 2, 4, 1] and m.sum(0).tolist() == [5, 5] for m in many)
+    got = np.array([m[0, 0] + m[2, 0] for m in many])  # how many of 7 marked rows among 10 fall into the first 5
+    for k in range(2, 6):
+        assert abs((got == k).mean() - math.comb(7, k) * math.comb(3, 5 - k) / 252) < 0.04
+    got = np.array([m[1, 1] for m in many])
+    for k in range(3):
+        assert abs((got == k).mean() - math.comb(2, k) * math.comb(8, 5 - k) / 252) < 0.04
+
+
+def test_places_are_uniform_over_seeds(spark):
+    """Every row is as likely in every shard, and neighbours are not kept together."""
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "doc_id long, text string")
+    first, together = np.zeros(40), 0
+    for seed in range(30):
+        shard = {r.doc_id: r.shard for r in assign(df, 4, seed).collect()}
+        first += [shard[i] == 0 for i in range(40)]
+        together += sum(shard[i] == shard[i + 1] for i in range(39))
+    assert first.sum() == 300 and first.max() <= 18
+    assert abs(together / (30 * 39) - 9 / 39) < 0.06
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([(i, f"t{i % 3}", i, i, i, i, "s") for i in range(9)], "doc_id long, text string, _row int, _other int, _twin int, _document int, `a.b` string")
+    out = sharded(df, 4)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    assert sorted(r[:7] for r in out.collect()) == sorted(map(tuple, df.collect()))

@@ -6,9 +6,10 @@
 2. Targets are apportioned in blocks of equal length. Block for block goes to the source with the
    highest quotient target / (2 k + 1); the first M blocks of that order are, for every M, the
    apportionment of M blocks, so cutting the order into equal runs gives every shard its own quotas.
-3. A source's documents stand in a seeded order, their words end to end and cut into blocks. Its quota
-   takes every block as often as it goes, and the rest evenly from a seeded start. A document's words
-   in the mix follow from its place alone, so no list of blocks is ever made.
+3. A source's documents stand in a seeded order, their words end to end and cut into blocks. The shards
+   take their quotas of that order one after the other, from its beginning again when it is used up, so
+   every block is taken as often as any other or once more. A document's words in the mix, and each
+   shard's part of them, follow from its place alone: no list of blocks is ever made.
 """
 
 from __future__ import annotations
@@ -18,16 +19,19 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import WORD, Scratch
 
-#: Documents of a source are spread over so many runs by their hash, so a hot source is many tasks.
-RUNS = 256
+#: A source's order is cut into so many runs at least, for each of which the whole table has RUN_ROWS rows
+#: at most (on average); so a hot source is many tasks, however large the table.
+RUNS, RUN_ROWS = 256, 1 << 16
 #: The smallest target has so many blocks at least; all targets together have MOST_BLOCKS at most.
 FINEST, MOST_BLOCKS = 256, 1 << 40
 WEIGHTS = (3, 1, 2)
-BIG = "decimal(38,0)"
 
 
 def targets(sources: DataFrame, share: float, cap: float, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """Adds weight, limit and target to (source, source_size), a row a source (by code point, null last)."""
+    """Adds weight, limit and target to (source, source_size), a row a source (by code point, null last).
+
+    Sources are ranked together in one task: a few numbers each.
+    """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*(F.lit(w) for w in weights))
     rows = sources.withColumn("at", F.row_number().over(order)).withColumn("weight", F.get(cycle, (F.col("at") - 1) % len(weights)))
@@ -67,67 +71,78 @@ def apportion(rows: DataFrame, shards: int) -> DataFrame:
     quotient = Window.partitionBy("shard").orderBy(F.desc(F.col("target") / (2 * F.col("seat") + 1)), "at")
     won = seats.withColumn("rank", F.row_number().over(quotient)).where(F.col("rank") <= F.col("_open")).groupBy("shard", "at").agg(F.count("*").alias("more"))
     houses = near.join(won, ["shard", "at"], "left").select("shard", "at", (F.col("_sure") + F.coalesce("more", F.lit(0))).alias("held"))
-    quotas = houses.groupBy("at").agg(F.max_by("held", "shard").alias("quota"), F.array_sort(F.collect_list(F.struct("shard", "held"))).alias("houses"))
+    quotas = houses.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("shard", "held"))).alias("houses"))
+    ends = F.transform("houses", lambda h: h["held"])
     step = F.transform("houses", lambda h, i: h["held"] - F.coalesce(F.get(F.col("houses"), i - 1)["held"], F.lit(0)))
-    return rows.drop("_seats").join(quotas.select("at", "quota", step.alias("shard_quotas")), "at")
+    return rows.drop("_seats").join(quotas.select("at", F.element_at(ends, -1).alias("quota"), step.alias("shard_quotas")), "at")
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 20, shards: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, the columns to carry, size, source_size, target, taken) for each row of docs.
-
-    A text's size is its number of words (null: 0); a null source is a source of its own, sorted last.
-    taken counts the document's words in the mix, repeats included, and is at most `cap` (whole) times
-    its size; each source gives its target to within a block, and reruns agree. Rows that repeat a
-    document are documents of their own. An empty table gives an empty one. Columns that aren't carried
-    are ignored, so none can clash.
-    """
+def placed(docs: DataFrame, share: float, cap: float, seed: int, shards: int, carry: list[Column]) -> DataFrame:
+    """(doc_id, source, what is carried, size, source_size, target, block, quota, shard_quotas, _start, _stop):
+    the document's words are those from _start to _stop of its source's order."""
     scratch = Scratch(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.xxhash64(F.lit(seed), "doc_id")
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    bits = (max(docs.count() // RUN_ROWS, RUNS) - 1).bit_length()
+    run = F.shiftright(F.conv(F.substring("_key", 1, 12), 16, 10).cast("long"), 48 - bits)
     # a null source has its own key, so that windows and joins share one partitioning
-    named = [F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), F.pmod(key, F.lit(RUNS)).cast("int").alias("_run")]
-    sized = docs.select("doc_id", "source", *carry, *named, key.alias("_key"), size.alias("size"))
+    named = [F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), key.alias("_key")]
+    sized = docs.select("doc_id", "source", *carry, *named, size.alias("size")).withColumn("_run", run)
     if not carry:
         sized = scratch.cut(sized)
     runs = scratch.cut(sized.groupBy("_s", "_n", "_run").agg(F.sum("size").alias("_words")))
     own_runs = Window.partitionBy("_s", "_n")
     runs = runs.withColumn("source_size", F.sum("_words").over(own_runs)).withColumn("_before", F.sum("_words").over(own_runs.orderBy("_run")) - F.col("_words"))
     sources = runs.select("_s", "_n", "source_size").distinct().withColumn("source", F.when(~F.col("_n"), F.col("_s")))
-    plan = scratch.cut(apportion(targets(sources, share, cap), shards).select("_s", "_n", "target", "block", "quota"))
+    plan = scratch.cut(apportion(targets(sources, share, cap), shards).select("_s", "_n", "target", "block", "quota", "shard_quotas"))
     plan = runs.join(plan, ["_s", "_n"]).drop("_words")
-    own = Window.partitionBy("_s", "_n", "_run").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("_s", "_n", "_run").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = sized.withColumn("_end", F.sum("size").over(own)).join(plan, ["_s", "_n", "_run"])
-    rows = (
-        rows.withColumn("_stop", F.col("_before") + F.col("_end"))
-        .withColumn("_start", F.col("_stop") - F.col("size"))
-        .withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("block"))).cast("long"))
-        .withColumn("_passes", F.expr("quota div _blocks"))
-        .withColumn("_rest", F.col("quota") % F.col("_blocks"))
-        .withColumn("_turn", F.pmod(F.xxhash64(F.lit(seed), "_s", "_n"), F.col("_blocks")))
-    )
+    return rows.withColumn("_stop", F.col("_before") + F.col("_end")).withColumn("_start", F.col("_stop") - F.col("size"))
+
+
+def rounds(quota: Column) -> tuple[Column, Column]:
+    """(how often a quota takes the whole order, words of the order that it takes once more)."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("block"))).cast("long")
+    whole = F.floor(quota / blocks).cast("long")
+    return whole, (quota - whole * blocks) * F.col("block")
+
+
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 20, shards: int = 16) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, shard_taken) for each row of docs (doc_id, text, source).
+
+    A text's size is its number of words (null: 0); a null source is a source of its own, sorted last.
+    shard_taken holds the document's words that each shard's quota takes, repeats included, taken their
+    sum, at most `cap` (whole) times the size; each source gives its target to within some blocks (a
+    target has FINEST of them), and reruns agree. Rows without doc_id and rows that repeat one are
+    documents of their own; of equal rows, which one gives what is of no account. A very long text is as
+    many blocks as it has words for. An empty table gives an empty one. Other columns are ignored, so
+    none can clash.
+    """
+    rows = placed(docs, share, cap, seed, shards, [])
+    # before each shard: the quotas of those before it
+    ends = F.transform("shard_quotas", lambda q, i: F.aggregate(F.slice("shard_quotas", 1, i + 1), F.lit(0).cast("long"), lambda a, b: a + b))
 
-    def chosen(point: str) -> Column:
-        """Words before this one that stand in the blocks which the rest chooses: every block at which the running share gains one."""
-        n = F.expr(f"{point} div block")
-        count = lambda b: F.expr(f"(cast({b} + _turn as {BIG}) * _rest) div _blocks")
-        before = count(f"({point} div block)") - count("0")
-        here = count(f"(({point} div block) + 1)") - count(f"({point} div block)")
-        return before * F.col("block") + here * (F.col(point) - n * F.col("block"))
+    def words(quota: Column) -> Column:
+        whole, more = rounds(quota)
+        return F.least(whole * F.col("size") + F.least(F.col("_stop"), more) - F.least(F.col("_start"), more), F.col("size") * int(cap))
 
-    taken = F.col("_passes") * F.col("size") + chosen("_stop") - chosen("_start")
-    whole = F.least(taken, F.col("size") * int(cap)).cast("long")
-    return rows.select("doc_id", "source", *carry, "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), whole.alias("taken"))
+    rows = rows.withColumn("_words", F.transform(ends, words))
+    each = F.transform("_words", lambda w, i: (w - F.coalesce(F.get(F.col("_words"), i - 1), F.lit(0))).cast("long"))
+    sizes = [F.col("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target")]
+    return rows.select("doc_id", "source", *sizes, F.element_at("_words", -1).cast("long").alias("taken"), each.alias("shard_taken"))
 
 
-def mixed(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 20) -> DataFrame:
-    """docs in the mix: each document as often as its words are taken, fractions rounded by a seeded hash; columns as in docs.
+def mixed(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 20, shards: int = 16) -> DataFrame:
+    """docs in the mix, as whole documents; columns, whatever their names, as in docs.
 
-    Documents without words stay once.
+    A document comes as often as its source's quota takes the whole order, and once more if its middle
+    word stands in what the quota takes beyond: so a source misses its quota by half of one document at
+    most, and no document comes more than `cap` times. Documents without words (null texts too) stay
+    once. Nulls, repeated rows, long texts and empty tables are treated as by mix().
     """
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    clash = {c: f"_carried_{i}" for i, c in enumerate(carry) if c in ("size", "source_size", "target", "taken")}
-    rows = mix(docs.withColumnsRenamed(clash), share, cap, seed, carry=tuple(clash.get(c, c) for c in carry))
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + part).cast("int"))
-    repeated = rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
+    rows = placed(docs, share, cap, seed, shards, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document")])
+    whole, more = rounds(F.col("quota"))
+    times = F.least(whole + F.when(F.col("_start") + F.col("_stop") < 2 * more, 1).otherwise(0), F.lit(int(cap)))
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(times).cast("int")
+    return rows.withColumn("_times", times).where("_times > 0").select("_document", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_document.*")

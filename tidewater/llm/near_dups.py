@@ -205,16 +205,19 @@ def near_dup_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def without_near_dups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group: the one of the least doc_id (rows without doc_id all stay).
 
-    Rows that share a doc_id are told apart by a number of their own and compared like any others.
+    Rows that share a doc_id are told apart by a number of their own and compared like any others; of
+    those in one group the least doc_id, then the least hash of a text stays. Null and empty texts stay,
+    very long ones are compared whole. Columns may have any names; an empty table gives an empty one.
     """
     own = F.col("doc_id").cast("long")
     if docs.where(own.isNotNull()).groupBy(own).count().where("count > 1").isEmpty():
         gone = near_dup_groups(docs, words, percent).where("not kept").select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     # written with their numbers, which stay the same however often the rows are read
-    rows = Scratch(docs.sparkSession).cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    known = rows.where(own.isNotNull())
-    groups = near_dup_groups(known.select(F.col("_row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
-    places = known.select("_row", F.struct(own.alias("doc"), F.xxhash64("text").alias("text"), "_row").alias("place"))
-    kept = groups.join(places, "_row").groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place._row").alias("_row"))
-    return known.join(kept, "_row", "left_semi").unionByName(rows.where(own.isNull())).select(docs.columns)
+    document = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
+    rows = Scratch(docs.sparkSession).cut(docs.select(F.monotonically_increasing_id().alias("row"), document))
+    known = rows.where("document.doc_id is not null")
+    groups = near_dup_groups(known.select(F.col("row").alias("doc_id"), "document.text"), words, percent).select(F.col("doc_id").alias("row"), "component_id")
+    places = known.select("row", F.struct(F.col("document.doc_id").cast("long").alias("doc"), F.xxhash64("document.text").alias("text"), "row").alias("place"))
+    kept = groups.join(places, "row").groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row"))
+    return known.join(kept, "row", "left_semi").unionByName(rows.where("document.doc_id is null")).select("document.*")

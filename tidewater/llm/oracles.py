@@ -57,4 +57,39 @@ WITH base AS (
 SELECT *, (failed & 3) <> 0 AS base_failed, (failed & 15) = 0 AS kept FROM ledger
 """
 
-ORACLES = {"op2_minhash_near_dups": OP2, "op3_chat_format": OP3, "op6_quality_rules": OP6}
+OP9 = rf"""
+WITH sized AS (
+  SELECT row_number() OVER () AS id, doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size,
+    md5('20|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS k FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS nth FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CASE (nth - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, source_size * CAST(2 AS DOUBLE) AS most FROM sources
+), levels AS (
+  SELECT *, (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed WINDOW o AS (ORDER BY most / weight, nth)
+), goals AS (
+  SELECT *, least(most, coalesce((SELECT arg_min(level, (most / weight, nth)) FROM levels WHERE level * weight <= most) * weight, most)) AS target FROM levels
+), seats AS (
+  SELECT block, CAST(round(total / block) AS BIGINT) AS seats FROM (
+    SELECT sum(target) AS total, CAST(greatest(1, floor(coalesce(min(target) FILTER (target > 0), 1) / 256), ceil(sum(target) / pow(2, 40))) AS BIGINT) AS block FROM goals)
+), quotients AS (
+  SELECT nth, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, nth) AS place FROM goals, (SELECT unnest(range(0, (SELECT seats FROM seats))) AS k) WHERE target > 0
+), houses AS (
+  SELECT s AS shard, CAST(floor(seats * s / CAST(16 AS DOUBLE)) AS BIGINT) AS house FROM seats, (SELECT unnest(range(0, 17)) AS s)
+), quotas AS (
+  SELECT g.nth, h.shard, count(q.nth) AS quota FROM goals g CROSS JOIN houses h LEFT JOIN quotients q ON q.nth = g.nth AND q.place <= h.house GROUP BY g.nth, h.shard
+), laid AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY k, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM sized
+), words AS (
+  SELECT l.id, l.doc_id, l.source, l.size, g.source_size, g.target, q.shard,
+    least(l.size * 2, (q.quota // b) * l.size + least(l.stop, (q.quota % b) * block) - least(l.stop - l.size, (q.quota % b) * block)) AS so_far
+  FROM laid l JOIN (SELECT *, greatest(1, CAST(ceil(source_size / CAST(block AS DOUBLE)) AS BIGINT)) AS b FROM goals, seats) g ON g.source IS NOT DISTINCT FROM l.source JOIN quotas q ON q.nth = g.nth
+), parts AS (
+  SELECT *, so_far - lag(so_far) OVER (PARTITION BY id ORDER BY shard) AS part FROM words
+)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(sum(part) AS BIGINT) AS taken, string_agg(CAST(part AS VARCHAR), ',' ORDER BY shard) AS shard_taken
+FROM parts WHERE shard > 0 GROUP BY id, doc_id, source, size, source_size, target
+"""
+
+ORACLES = {"op2_minhash_near_dups": OP2, "op3_chat_format": OP3, "op6_quality_rules": OP6, "op9_source_mixing": OP9}

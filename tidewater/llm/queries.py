@@ -60,7 +60,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    rows = mix(table(spark, sf_dir, "documents"))
+    return rows.withColumn("shard_taken", F.array_join(F.col("shard_taken").cast("array<string>"), ","))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 1. Rows fall into parts by a hash. Only the parts' sizes reach the driver, and their number follows the
    table's size over PART_ROWS.
-2. The driver draws the matrix of how many rows each part sends to each shard: for every part a
-   multivariate hypergeometric draw from the room that the shards have left. Its rows and columns have
-   exact sums, and it has the distribution that a uniform permutation of all rows would give it.
+2. The driver draws the matrix of how many rows each part sends to each shard: for every shard a
+   multivariate hypergeometric draw from what the parts have left. Its rows and columns have exact sums,
+   and it has the distribution that a uniform permutation of all rows would give it. Populations beyond
+   what numpy draws from are halved by single exact draws first. 10**11 rows make 10**5 parts, a matrix
+   of 30 MB for 40 shards.
 3. A part permutes its rows locally and deals them out by its row of the matrix.
 4. After the exchange each shard permutes what it got: rows are ordered by a second seeded key. That
    order is made of key ranges, so a shard's slots need no single task either.
@@ -21,28 +23,35 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import Scratch
 
 #: Rows in a part, and the fewest parts.
-SHARDS, PART_ROWS, LEAST_PARTS = 40, 1 << 18, 64
+SHARDS, PART_ROWS, LEAST_PARTS = 40, 1 << 20, 64
+#: numpy draws from populations below this one.
+LIMIT = 10**9
 
 
 def matrix(parts: list[int], shards: int, seed: int) -> np.ndarray:
     """How many rows each part sends to each shard; shard sizes are at most one apart, the first ones larger."""
     rng = np.random.default_rng(seed)
-    total = sum(parts)
-    room = np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
+    left, total = np.array(parts, np.int64), sum(parts)
     out = np.zeros((len(parts), shards), np.int64)
-    for i, n in enumerate(parts):
-        left, free = n, int(room.sum())
-        for s in range(shards):  # one shard after the other: each draw is a plain hypergeometric one
-            free -= int(room[s])
-            take = draw(rng, int(room[s]), free, left)
-            out[i, s] = take
-            left -= take
-        room -= out[i]
+    for s in range(shards):
+        out[:, s] = spread(rng, left, total // shards + (s < total % shards))
+        left -= out[:, s]
     return out
 
 
+def spread(rng: np.random.Generator, sizes: np.ndarray, n: int) -> np.ndarray:
+    """How many of n rows that are drawn from all parts come from each: a multivariate hypergeometric draw."""
+    if int(sizes.sum()) < LIMIT:
+        return rng.multivariate_hypergeometric(sizes, n, method="marginals")
+    if len(sizes) == 1:
+        return np.array([n], np.int64)
+    half = len(sizes) // 2
+    first = draw(rng, int(sizes[:half].sum()), int(sizes[half:].sum()), n)
+    return np.concatenate([spread(rng, sizes[:half], first), spread(rng, sizes[half:], n - first)])
+
+
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """One hypergeometric draw. numpy's takes populations below 10**9; beyond, the law itself is inverted.
+    """One hypergeometric draw. numpy's takes populations below LIMIT; beyond, the law itself is inverted.
 
     Its weights follow from one another by exact ratios. Those beyond 40 spreads and 64 rows from the
     mean are below what a float can tell from nothing.
@@ -50,7 +59,7 @@ def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     low, high = max(0, n - bad), min(n, good)
     if low == high:
         return low
-    if good < 10**9 and bad < 10**9:
+    if good < LIMIT and bad < LIMIT:
         return int(rng.hypergeometric(good, bad, n))
     share = good / (good + bad)
     spread = np.sqrt(n * share * (1 - share) * (good + bad - n) / max(1, good + bad - 1))
@@ -99,10 +108,15 @@ def row_key(seed: int) -> list:
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = 40) -> DataFrame:
-    """docs with their shard and slot, which replace columns of these names; each text moves once."""
-    docs = docs.drop("shard", "slot")
+    """docs with their shard and slot, which replace columns of these names; each text moves once.
+
+    Rows are dealt as by assign(): nulls, empty and very long texts like any others, equal rows one by
+    one (which of them gets which place is of no account). Other columns may have any names. An empty
+    table gives an empty one.
+    """
+    document = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot"))).alias("_document")
     twin = F.row_number().over(Window.partitionBy("_row", "_other").orderBy("_row")).alias("_twin")
-    rows = docs.select("*", *row_key(seed)).select("*", twin)
+    rows = docs.select(document, *row_key(seed)).select("*", twin)
     places = assign(docs, shards, seed).select("shard", "slot", "_row", "_other")
     places = places.withColumn("_twin", F.row_number().over(Window.partitionBy("_row", "_other").orderBy("shard", "slot")))
-    return rows.join(places, ["_row", "_other", "_twin"]).select(*docs.columns, "shard", "slot")
+    return rows.join(places, ["_row", "_other", "_twin"]).select("_document.*", "shard", "slot")
