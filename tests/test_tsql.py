@@ -71,31 +71,75 @@ def test_ansi_nulls_and_concat(engine):
     assert one(engine, "SELECT IIF(NULL = NULL, 1, 0) a, 'x' + NULL b") == [(1, "x")]
 
 
-def test_joins_from_fixtures(engine):
+def test_outer_joins_and_missing_keys(engine):
     engine.exec(
-        "CREATE TABLE employees (id INT, name VARCHAR(50), dept_id INT); INSERT INTO employees VALUES (1, 'Alice', 10), (2, 'Bob', 20), (3, 'Charlie', 30), (4, 'Dave', NULL);"
-        "CREATE TABLE departments (id INT, dept_name VARCHAR(50)); INSERT INTO departments VALUES (10, 'Engineering'), (20, 'Marketing'), (40, 'Finance')"
+        "CREATE TABLE boats (no INT, hull VARCHAR(9), berth INT); INSERT INTO boats VALUES (7, 'oak', 3), (8, 'steel', 5), (9, 'ash', 6), (11, 'reed', NULL);"
+        "CREATE TABLE berths (no INT, pier CHAR(1)); INSERT INTO berths VALUES (3, 'N'), (5, 'S'), (8, 'W')"
     )
-    assert len(one(engine, "SELECT * FROM departments d RIGHT JOIN employees e ON d.id = e.dept_id")) == 4
-    assert len(one(engine, "SELECT e.name, d.dept_name FROM employees e RIGHT JOIN departments d ON d.id = e.dept_id")) == 3
-    assert len(one(engine, "SELECT e.name, d.dept_name FROM employees e FULL JOIN departments d ON d.id = e.dept_id")) == 5
-    assert one(engine, "SELECT name FROM employees WHERE dept_id NOT IN (SELECT id FROM departments)") == [("Charlie",)]
-
-
-def test_windows_from_fixtures(engine):
-    engine.exec("CREATE TABLE s (id INT, product VARCHAR(20), amount INT); INSERT INTO s VALUES (1, 'A', 100), (2, 'A', 200), (3, 'B', 150), (4, 'B', 250)")
-    assert one(engine, "SELECT SUM(amount) OVER (ORDER BY id), AVG(amount) OVER (PARTITION BY product) FROM s ORDER BY id") == [(100, 150), (300, 150), (450, 200), (700, 200)]
-    engine.exec("CREATE TABLE f (id INT, val INT); INSERT INTO f VALUES (1, 10), (2, 20), (3, 30), (4, 40)")
-    assert one(engine, "SELECT SUM(val) OVER (ORDER BY id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM f ORDER BY id") == [(30,), (60,), (90,), (70,)]
-    engine.exec("CREATE TABLE g (v INT); INSERT INTO g VALUES (1), (1), (5)")
-    assert one(engine, "SELECT SUM(v) OVER (ORDER BY v GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM g ORDER BY s") == [(2,), (2,), (7,)]
-
-
-def test_pivot_and_unpivot(engine):
-    engine.exec("CREATE TABLE sales (region VARCHAR(50), quarter VARCHAR(10), amount INT); INSERT INTO sales VALUES ('East', 'Q1', 1000), ('East', 'Q2', 2000), ('West', 'q1', 500)")
-    assert one(engine, "SELECT * FROM sales PIVOT (SUM(amount) FOR quarter IN ([Q1], [Q2])) p ORDER BY region") == [("East", 1000, 2000), ("West", 500, None)]
-    engine.exec("CREATE TABLE w (region VARCHAR(50), Q1 INT, Q2 INT); INSERT INTO w VALUES ('East', 1, NULL), ('West', 3, 4)")
-    assert one(engine, "SELECT region, q, v FROM w UNPIVOT (v FOR q IN (Q1, Q2)) u ORDER BY region, q") == [("East", "Q1", 1), ("West", "Q1", 3), ("West", "Q2", 4)]
+    assert sorted(one(engine, "SELECT b.no, p.pier FROM berths p RIGHT JOIN boats b ON p.no = b.berth")) == [(7, "N"), (8, "S"), (9, None), (11, None)]
+    assert sorted(one(engine, "SELECT p.pier, COUNT(b.no) AS n FROM boats b RIGHT JOIN berths p ON p.no = b.berth GROUP BY p.pier")) == [("N", 1), ("S", 1), ("W", 0)]
+    assert one(engine, "SELECT COUNT(*) AS n, COUNT(b.no) AS b, COUNT(p.no) AS p FROM boats b FULL JOIN berths p ON p.no = b.berth") == [(5, 4, 3)]
+    assert one(engine, "SELECT hull FROM boats WHERE berth NOT IN (SELECT no FROM berths)") == [("ash",)]
+    assert one(engine, "SELECT hull FROM boats WHERE no NOT IN (SELECT berth FROM boats)") == []
+    assert sorted(one(engine, "SELECT hull FROM boats WHERE berth NOT IN (SELECT no FROM berths WHERE pier = 'Q')")) == [("ash",), ("oak",), ("reed",), ("steel",)]
+    assert one(engine, "SELECT COUNT(*) AS n FROM boats WHERE NOT (berth NOT IN (SELECT no FROM berths)) AND no < 100") == [(2,)]
+
+
+def test_running_and_sliding_windows(engine):
+    engine.exec("CREATE TABLE tide (hour INT, pier CHAR(1), cm INT); INSERT INTO tide VALUES (1, 'N', 3), (2, 'N', 8), (3, 'S', 4), (4, 'S', 9), (5, 'S', 12)")
+    assert one(engine, "SELECT SUM(cm) OVER (ORDER BY hour), AVG(cm) OVER (PARTITION BY pier) FROM tide ORDER BY hour") == [(3, 5), (11, 5), (15, 8), (24, 8), (36, 8)]
+    assert one(engine, "SELECT MAX(cm) OVER (ORDER BY hour ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM tide ORDER BY hour") == [(8,), (8,), (9,), (12,), (12,)]
+    engine.exec("CREATE TABLE g (v INT); INSERT INTO g VALUES (2), (2), (9), (20)")
+    assert one(engine, "SELECT SUM(v) OVER (ORDER BY v GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM g ORDER BY s") == [(4,), (4,), (13,), (29,)]
+
+
+def test_cross_tables(engine):
+    engine.exec("CREATE TABLE catch (boat VARCHAR(9), fish VARCHAR(9), kg INT); INSERT INTO catch VALUES ('oak', 'cod', 12), ('oak', 'cod', 5), ('oak', 'ling', 7), ('ash', 'COD', 4)")
+    assert one(engine, "SELECT * FROM catch PIVOT (SUM(kg) FOR fish IN ([cod], [ling])) p ORDER BY boat") == [("ash", 4, None), ("oak", 17, 7)]
+    engine.exec("CREATE TABLE w (boat VARCHAR(9), cod INT, ling INT); INSERT INTO w VALUES ('oak', 17, 7), ('ash', 4, NULL)")
+    assert one(engine, "SELECT boat, f, kg FROM w UNPIVOT (kg FOR f IN (cod, ling)) u ORDER BY boat, f") == [("ash", "cod", 4), ("oak", "cod", 17), ("oak", "ling", 7)]
+
+
+def test_generators_are_applied_in_one_pass(engine, spark):
+    spark.createDataFrame([(1, "a,b", '{"x":1}'), (2, None, "[3]"), (3, "", "no json")], "id int, t string, j string").createOrReplaceTempView("applied")
+    engine.register("d", spark.table("applied"))
+    for sql in ("SELECT d.id, s.value FROM d CROSS APPLY STRING_SPLIT(d.t, ',') s", "SELECT d.id, s.[key], s.value FROM d OUTER APPLY OPENJSON(d.j) s", "SELECT d.id, s.x FROM d CROSS APPLY OPENJSON(d.j) WITH (x INT) s JOIN d e ON e.id = d.id"):
+        plan = engine.explain(sql)["plan"]
+        assert "Generate" in plan and ("Join" in plan) == (" JOIN " in sql)
+    assert one(engine, "SELECT d.id, s.value FROM d OUTER APPLY STRING_SPLIT(d.t, ',') s ORDER BY 1, 2") == [(1, "a"), (1, "b"), (2, None), (3, "")]
+    assert one(engine, "SELECT a.id, s.value, u.value AS v FROM d a CROSS APPLY STRING_SPLIT(a.t, ',') s CROSS APPLY STRING_SPLIT(s.value + '|z', '|') u WHERE u.value <> 'z' AND a.id = 1 ORDER BY 2") == [(1, "a", "a"), (1, "b", "b")]
+    plan = engine.explain("SELECT id FROM d WHERE id NOT IN (SELECT id + 1 FROM d)")["plan"]
+    assert "NullAware" not in plan and "isNullAware" not in plan
+
+
+def test_quantified_comparisons(engine):
+    engine.exec("CREATE TABLE v (x INT); INSERT INTO v VALUES (1), (5), (NULL); CREATE TABLE w (x INT); INSERT INTO w VALUES (2), (4)")
+    assert one(engine, "SELECT x FROM w WHERE x > ANY (SELECT x FROM v) ORDER BY x") == [(2,), (4,)]
+    assert one(engine, "SELECT x FROM w WHERE x < ALL (SELECT x FROM v)") == []
+    assert one(engine, "SELECT x FROM v WHERE x > ALL (SELECT x FROM w)") == [(5,)]
+    assert one(engine, "SELECT COUNT(*) AS n FROM w WHERE x >= ALL (SELECT x FROM w WHERE x > 9)") == [(2,)]
+
+
+def test_loops_in_functions(engine):
+    engine.exec("CREATE FUNCTION dbo.root(@n INT) RETURNS INT AS BEGIN DECLARE @i INT = 0; WHILE 1 = 1 BEGIN IF @i * @i > @n RETURN @i - 1; SET @i += 1 END; RETURN -1 END")
+    assert one(engine, "SELECT dbo.root(0) AS a, dbo.root(99) AS b, dbo.root(100) AS c") == [(0, 9, 10)]
+    engine.exec("CREATE FUNCTION dbo.pairs(@n INT) RETURNS INT AS BEGIN DECLARE @i INT = 0, @j INT, @all INT = 0; WHILE @i < @n BEGIN SET @i += 1; SET @j = 0; WHILE @j < @i BEGIN SET @j += 1; IF @j = @i CONTINUE; SET @all += 1 END END; RETURN @all END")
+    assert one(engine, "SELECT dbo.pairs(1) AS a, dbo.pairs(5) AS b") == [(0, 10)]
+    engine.exec("CREATE FUNCTION dbo.forever(@n INT) RETURNS INT AS BEGIN WHILE 1 = 1 SET @n = @n; RETURN @n END")
+    with pytest.raises(Exception, match="too many rounds"):
+        engine.query("SELECT dbo.forever(1) AS a").collect()
+
+
+def test_old_versions_are_deleted(engine):
+    engine.exec("CREATE TABLE t (x INT); INSERT INTO t VALUES (1), (2); UPDATE t SET x = x + 1; DELETE FROM t WHERE x = 2; INSERT INTO t VALUES (9)")
+    assert engine.vacuum() > 0
+    assert sorted(one(engine, "SELECT x FROM t")) == [(3,), (9,)]
+    assert engine.vacuum() == 0
+
+
+def test_views_without_rows_have_their_columns(engine):
+    assert one(engine, "SELECT s.stats_id, c.column_id FROM sys.stats s JOIN sys.stats_columns c ON c.object_id = s.object_id") == []
+    assert one(engine, "SELECT COUNT(*) AS n FROM sys.database_files WHERE type_desc = 'ROWS'") == [(0,)]
 
 
 def test_recursion_is_capped(engine):

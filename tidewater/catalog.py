@@ -53,6 +53,7 @@ class Table:
     id: int = field(default_factory=lambda: next(_ids))
     version: int = 0
     external: bool = False
+    readonly: bool = False
 
     def column(self, name: str) -> Column:
         for c in self.columns:

@@ -122,7 +122,13 @@ def cast(b, x: Typed, to: Type, safe: bool = False) -> Typed:
     if to.name in ("binary", "varbinary"):
         if kind.is_string:
             return Typed(f"encode({x}, 'UTF-8')", to)
-        return Typed(f"{word}({x} AS BINARY)" if not kind.is_integer else f"CAST({x} AS BINARY)", to)
+        if kind.is_integer or kind.name == "bit":
+            # the number's own bytes, the highest first; BINARY(n) has n of them, VARBINARY(n) n at most
+            own = {"bit": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8}[kind.name]
+            size = (to.length or 30) if to.name == "binary" else min(own, to.length or 30)
+            whole = f"lpad(hex(CAST({x} AS BIGINT)), 16, '0')"
+            return Typed(f"unhex(lpad(right({whole}, {2 * min(own, size)}), {2 * size}, '0'))", to)
+        return Typed(f"{word}({x} AS BINARY)", to)
     if kind.name in ("binary", "varbinary") and to.is_integer:
         return Typed(f"CAST(conv(hex({x}), 16, 10) AS {to.spark()})", to)
     return Typed(f"{word}({x} AS {to.spark()})", to)

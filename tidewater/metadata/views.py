@@ -431,11 +431,45 @@ def _(s):
     return [(key[1], -i - 1, 4 if key[0] == "sys" else 3) for i, key in enumerate(sorted(VIEWS))]
 
 
-#: Views that never have rows here: their columns alone.
-EMPTY = """filetables periods xml_indexes xml_schema_collections column_encryption_keys column_master_keys column_encryption_key_values internal_tables
-partition_functions partition_parameters partition_schemes allocation_units destination_data_spaces edge_constraints assembly_modules assembly_types system_sql_modules
-stats stats_columns extended_properties dm_os_host_info dm_os_sys_info dm_db_index_usage_stats dm_db_index_physical_stats
-server_role_members availability_replicas availability_groups dm_hadr_database_replica_states database_mirroring master_files database_files database_permissions
-database_role_members change_tracking_tables fulltext_indexes fulltext_index_columns fulltext_catalogs""".split()
-for _name in EMPTY:
-    VIEWS["sys", _name] = ("name:s object_id:i", lambda s: [])
+#: Views that never have rows here, and their columns.
+EMPTY = {
+    "filetables": "object_id:i is_enabled:b directory_name:s filename_collation_id:i filename_collation_name:s",
+    "periods": "name:s period_type:i period_type_desc:s object_id:i start_column_id:i end_column_id:i",
+    "xml_indexes": "object_id:i name:s index_id:i type:i type_desc:s is_unique:b using_xml_index_id:i secondary_type:s secondary_type_desc:s xml_index_type:i",
+    "xml_schema_collections": "xml_collection_id:i schema_id:i principal_id:i name:s create_date:d modify_date:d",
+    "column_encryption_keys": "name:s column_encryption_key_id:i create_date:d modify_date:d",
+    "column_master_keys": "name:s column_master_key_id:i create_date:d modify_date:d key_store_provider_name:s key_path:s allow_enclave_computations:b",
+    "column_encryption_key_values": "column_encryption_key_id:i column_master_key_id:i encryption_algorithm_name:s",
+    "internal_tables": "name:s object_id:i schema_id:i parent_object_id:i type:s type_desc:s create_date:d modify_date:d internal_type:i internal_type_desc:s parent_id:i parent_minor_id:i",
+    "partition_functions": "name:s function_id:i type:s type_desc:s fanout:i boundary_value_on_right:b is_system:b create_date:d modify_date:d",
+    "partition_parameters": "function_id:i parameter_id:i system_type_id:i max_length:i precision:i scale:i collation_name:s user_type_id:i",
+    "partition_schemes": "name:s data_space_id:i type:s type_desc:s is_default:b is_system:b function_id:i",
+    "allocation_units": "allocation_unit_id:l type:i type_desc:s container_id:l data_space_id:i total_pages:l used_pages:l data_pages:l",
+    "destination_data_spaces": "partition_scheme_id:i destination_id:i data_space_id:i",
+    "edge_constraints": "name:s object_id:i principal_id:i schema_id:i parent_object_id:i type:s type_desc:s is_disabled:b is_not_trusted:b delete_referential_action:i",
+    "assembly_modules": "object_id:i assembly_id:i assembly_class:s assembly_method:s null_on_null_input:b execute_as_principal_id:i",
+    "assembly_types": "name:s system_type_id:i user_type_id:i schema_id:i principal_id:i is_user_defined:b is_assembly_type:b assembly_id:i assembly_class:s",
+    "system_sql_modules": "object_id:i definition:s uses_ansi_nulls:b uses_quoted_identifier:b is_schema_bound:b",
+    "stats": "object_id:i name:s stats_id:i auto_created:b user_created:b no_recompute:b has_filter:b filter_definition:s is_temporary:b is_incremental:b",
+    "stats_columns": "object_id:i stats_id:i stats_column_id:i column_id:i",
+    "extended_properties": "class:i class_desc:s major_id:i minor_id:i name:s value:s",
+    "dm_os_host_info": "host_platform:s host_distribution:s host_release:s host_service_pack_level:s host_sku:i os_language_version:i",
+    "dm_os_sys_info": "cpu_ticks:l ms_ticks:l cpu_count:i hyperthread_ratio:i physical_memory_kb:l committed_kb:l max_workers_count:i scheduler_count:i sqlserver_start_time:d",
+    "dm_db_index_usage_stats": "database_id:i object_id:i index_id:i user_seeks:l user_scans:l user_lookups:l user_updates:l last_user_seek:d last_user_scan:d last_user_update:d",
+    "dm_db_index_physical_stats": "database_id:i object_id:i index_id:i partition_number:i index_type_desc:s alloc_unit_type_desc:s index_depth:i index_level:i page_count:l record_count:l",
+    "server_role_members": "role_principal_id:i member_principal_id:i",
+    "availability_replicas": "replica_id:s group_id:s replica_server_name:s endpoint_url:s availability_mode:i availability_mode_desc:s failover_mode:i failover_mode_desc:s",
+    "availability_groups": "group_id:s name:s resource_id:s resource_group_id:s failure_condition_level:i health_check_timeout:i",
+    "dm_hadr_database_replica_states": "database_id:i group_id:s replica_id:s is_local:b synchronization_state:i synchronization_state_desc:s database_state:i database_state_desc:s",
+    "database_mirroring": "database_id:i mirroring_guid:s mirroring_state:i mirroring_state_desc:s mirroring_role:i mirroring_role_desc:s mirroring_partner_name:s",
+    "master_files": "database_id:i file_id:i file_guid:s type:i type_desc:s data_space_id:i name:s physical_name:s state:i state_desc:s size:i max_size:i growth:i",
+    "database_files": "file_id:i file_guid:s type:i type_desc:s data_space_id:i name:s physical_name:s state:i state_desc:s size:i max_size:i growth:i",
+    "database_permissions": "class:i class_desc:s major_id:i minor_id:i grantee_principal_id:i grantor_principal_id:i type:s permission_name:s state:s state_desc:s",
+    "database_role_members": "role_principal_id:i member_principal_id:i",
+    "change_tracking_tables": "object_id:i is_track_columns_updated_on:b min_valid_version:l begin_version:l cleanup_version:l",
+    "fulltext_indexes": "object_id:i unique_index_id:i fulltext_catalog_id:i is_enabled:b change_tracking_state:s change_tracking_state_desc:s has_crawl_completed:b",
+    "fulltext_index_columns": "object_id:i column_id:i type_column_id:i language_id:i statistical_semantics:i",
+    "fulltext_catalogs": "fulltext_catalog_id:i name:s path:s is_default:b is_accent_sensitivity_on:b data_space_id:i principal_id:i",
+}
+for _name, _columns in EMPTY.items():
+    VIEWS["sys", _name] = (_columns, lambda s: [])

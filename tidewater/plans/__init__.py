@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import changes, functions, relational, windows
+from tidewater.plans import changes, functions, relational, system, windows
 from tidewater.plans.runner import oracles, runnable
 
-ALL = [*relational.QUERIES, *windows.QUERIES, *functions.QUERIES, *changes.QUERIES]
+ALL = [*relational.QUERIES, *windows.QUERIES, *functions.QUERIES, *changes.QUERIES, *system.QUERIES]
 
 
 def queries() -> dict:
-    return runnable(ALL) | changes.DIRECT
+    return runnable(ALL) | changes.DIRECT | system.DIRECT
 
 
 def oracle_sql() -> dict:
-    return oracles(ALL) | changes.DIRECT_ORACLES
+    return oracles(ALL) | changes.DIRECT_ORACLES | system.DIRECT_ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ QUERIES = [
     ),
     both("win_running_sum", "SUM(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s", "CAST(SUM(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s", "lineitem", "l_orderkey, l_linenumber"),
     both("win_range_peers", f"COUNT(*) OVER ({P}) AS n, SUM(l_linenumber) OVER ({P} RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS s", f"COUNT(*) OVER ({P}) AS n, CAST(SUM(l_linenumber) OVER ({P} RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s", "lineitem", "l_orderkey, l_linenumber, l_quantity, l_suppkey"),
-    both("win_groups_frame", f"SUM(l_linenumber) OVER ({P} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s", f"CAST(SUM(l_linenumber) OVER ({P} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s", "lineitem WHERE l_quantity < 30", "l_orderkey, l_linenumber, l_quantity, l_suppkey"),
+    both("win_groups_frame", f"SUM(l_linenumber) OVER ({P} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s", f"CAST(SUM(l_linenumber) OVER ({P} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s", "lineitem", "l_orderkey, l_linenumber, l_quantity, l_suppkey"),
     both("win_rows_sliding", f"SUM(YEAR(o_orderdate)) OVER ({W} ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS s, MIN(o_totalprice) OVER ({W} ROWS 2 PRECEDING) AS m", f"CAST(SUM(YEAR(o_orderdate)) OVER ({W} ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS s, MIN(o_totalprice) OVER ({W} ROWS 2 PRECEDING) AS m"),
     Q(
         "win_percentiles",

@@ -59,7 +59,7 @@ def arranged(s: Session, df: DataFrame, columns: list[Column]) -> DataFrame:
 
 def check_rows(s: Session, table: Table, rows: DataFrame) -> DataFrame:
     """Rows that are about to come in: lengths, NULLs and CHECK; CHAR is padded."""
-    tests = []
+    tests, given = [], rows
     for c in table.columns:
         col = F.col(name(c.name))
         if c.type.length and c.type.is_string:
@@ -74,7 +74,7 @@ def check_rows(s: Session, table: Table, rows: DataFrame) -> DataFrame:
         if rule.type == "check":
             tests.append((~F.coalesce(F.expr(check_sql(s, table, rule)), F.lit(True)), f"The INSERT or UPDATE statement conflicted with the CHECK constraint \"{rule.name}\".", CHECK_VIOLATION))
     if tests:
-        hits = rows.agg(*[F.coalesce(F.max(F.when(test, 1)), F.lit(0)).alias(f"t{i}") for i, (test, _, _) in enumerate(tests)])
+        hits = given.agg(*[F.coalesce(F.max(F.when(test, 1)), F.lit(0)).alias(f"t{i}") for i, (test, _, _) in enumerate(tests)])
         found = s.collect(hits)[0]
         for i, (_, message, number) in enumerate(tests):
             if found[i]:
