@@ -91,6 +91,32 @@ def test_rows_that_share_an_id_are_compared_by_themselves(spark):
     assert sorted((r.doc_id, r.text) for r in left.collect()) == [(3, two), (7, one), (9, three)] and left.columns == df.columns
 
 
+def test_chains_and_strangers_of_a_family(spark, monkeypatch):
+    """Documents that only their neighbours link, and families in which the leader is linked with few."""
+    monkeypatch.setattr(near_dups, "BLOCK_DOCS", 8)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(120):  # each differs from the one before a little, from far ones a lot
+        base = list(base)
+        base[rng.randrange(60)] = rng.choice(words)
+        rows.append((i * 7 % 120, " ".join(base)))
+    core = [rng.choice(words) for _ in range(45)]
+    for i in range(200, 240):  # half in common with all, more with a partner
+        own = random.Random(i // 2)
+        rows.append((i, " ".join([*core, *(own.choice(words) for _ in range(25)), *(rng.choice(words) for _ in range(2))])))
+    df = spark.createDataFrame([(d, t, "s", "k", 7) for d, t in rows], SCHEMA).repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup_groups(df, 5, 80).collect()}
+    assert got == brute(rows, 5, 80)
+
+
+def test_linked_outside_of_a_cluster():
+    sets = [np.sort(np.array(x, np.uint64)) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [1, 2, 3, 4, 7], [1, 2, 3, 4, 5])]
+    assert linked(sets, 60, [0, 0, 0, 3], [False, False, False, True]) in ([(3, 0)], [(3, 1)], [(3, 2)])
+    assert linked(sets, 60, [0, 0, 0, 0], [False] * 4) == []
+
+
 def test_columns_of_any_name_are_kept(spark):
     names = ["_row", "row", "document", "place", "_once", "component_id", "a.b"]
     schema = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
@@ -31,10 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only in local mode, where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         held = tempfile.TemporaryDirectory(prefix="tidewater-")
         atexit.register(held.cleanup)
@@ -42,12 +45,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage. Each is whole once written, so a lost executor costs no recomputation of it."""
+    """Tables written to the shared folder to cut lineage. Each is whole once written, so a lost executor costs no recomputation of it.
+
+    What a result is made of has to stay until it has been read, which only its reader knows; so the folder goes when
+    the driver ends, and tables that nothing reads any more before (drop).
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/tidewater-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        try:
+            delete(self.spark, self.root)
+        except Exception:  # the JVM is gone already
+            pass
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -61,15 +80,19 @@ class Scratch:
         """Deletes a table that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete(self.spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds an Arrow batch by bytes and rows, so that a worker's memory does not follow the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bounds an Arrow batch by bytes and rows, so that a worker's memory does not follow the length of texts.
+
+    The settings are read when a plan runs, so they stay; smaller ones that the caller has made are left as they are.
+    """
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -7,11 +7,13 @@ probability (1 - (1 - s**3)**10)**2: 0.9985 at 0.8, 0.9999 at 0.85, 0.006 at 0.2
 
 1. One pass over the texts makes each document's set size, set fingerprint and keys. Within each
    chunk of rows, copies and documents that share a key are reduced to one before anything moves.
-2. Documents that share a key are linked to the key's least document; the connected families of
-   these candidate links are all that is looked at again.
-3. Families are cut into blocks of bounded size, and each pair of blocks is compared exactly on
-   full sets by an inverted index in one task: nothing is capped, and no pairs are written out,
-   only the links that a spanning forest needs.
+2. Documents that share a key are candidates for a link to the key's least document, its leader;
+   leaders come from a pre-aggregated minimum, so a hot key is no hot task. Each candidate is compared
+   with its leaders exactly, on full sets; a leader's candidates are dealt to parts of bounded size.
+3. Clusters that candidates join but no link does make families, which are compared as a whole: what is
+   outside of a family's largest cluster with all of the family, block by block of bounded size,
+   exactly, by an inverted index. Nothing is capped, and no pairs are written out, only the links that
+   a spanning forest needs.
 4. Confirmed links and equal fingerprints give the final components.
 """
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bytes_np as B
@@ -32,7 +34,7 @@ from tidewater.llm.shingles import shingle_sets
 U64 = np.uint64
 COLLECTION, HALF = 10, 3
 #: A block of a family holds about so many shingles and documents at most.
-BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 2048
+BLOCK_SHINGLES, BLOCK_DOCS = 1 << 18, 512
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, copy_of long, links array<long>, keys array<long>"
 
 
@@ -103,13 +105,22 @@ def sketch(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
     )
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets: 100 * intersection >= percent * union."""
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether sorted sets have 100 * intersection >= percent * union."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def linked(sets: list[np.ndarray], percent: int, clusters: list | None = None, outside: list[bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets: 100 * intersection >= percent * union.
+
+    clusters: sets of one are known to be connected; outside: only links of these sets are looked for.
+    """
     sizes = np.array([len(s) for s in sets])
     if len(sets) == 2:
-        a, b = sets
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return [(0, 1)] if 100 * both >= percent * (len(a) + len(b) - both) else []
+        return [(0, 1)] if similar(sets[0], sets[1], percent) else []
     parent = list(range(len(sets)))
 
     def root(x: int) -> int:
@@ -127,8 +138,15 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     run_of[order] = np.cumsum(new) - 1
     run_len = np.diff(np.append(run_start, len(ranked)))
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    out, apart = [], len(sets)
+    first: dict = {}
+    for x, c in enumerate(clusters or []):
+        parent[x] = first.setdefault(c, x)
+    out, apart = [], len(set(clusters)) if clusters else len(sets)
     for x in range(len(sets)):
+        if apart == 1:
+            break
+        if outside is not None and not outside[x]:
+            continue
         runs = run_of[begin[x] : begin[x + 1]]
         runs = runs[run_len[runs] > 1]
         lengths = run_len[runs]
@@ -141,34 +159,55 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
                 parent[max(p, q)] = min(p, q)
                 out.append((x, y))
                 apart -= 1
-        if apart == 1:
-            break
     return out
 
 
-def confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (family, i, j): two blocks of a family (or one) at a time."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    group, docs, sets = None, [], []
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links() -> pa.RecordBatch:
-        ids = np.array(docs)
-        found = linked(sets, percent) if len(docs) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in found], pa.int64()), pa.array([ids[y] for _, y in found], pa.int64())], schema=schema)
 
+def texts_of(batches: Iterator[pa.RecordBatch], words: int, names: tuple[str, ...]) -> Iterator[tuple]:
+    """(the columns of these names, the shingle set) of each row, a bounded number of text bytes at a time."""
     for batch in batches:
         for part in chunks(batch):
             hashes, offsets = shingle_sets(part.column("text"), words)
-            names = list(zip(*(part.column(c).to_pylist() for c in ("family", "i", "j"))))
-            for r, (name, doc) in enumerate(zip(names, part.column("doc_id").to_pylist())):
-                if name != group:
-                    if docs:
-                        yield links()
-                    group, docs, sets = name, [], []
-                docs.append(doc)
-                sets.append(hashes[offsets[r] : offsets[r + 1]].copy())
-    if docs:
-        yield links()
+            for r, row in enumerate(zip(*(part.column(c).to_pylist() for c in names))):
+                yield row, hashes[offsets[r] : offsets[r + 1]]
+
+
+def confirm_stars(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (leader, part), the leader's own first: each other one is compared with it."""
+    group, held, out = None, [], []
+    for (doc, leader, part), found in texts_of(batches, words, ("doc_id", "leader", "part")):
+        if (leader, part) != group:
+            group, held = (leader, part), []
+        if doc == leader:  # of several texts, any counts
+            held.append(found.copy())
+        elif any(similar(x, found, percent) for x in held):
+            out.append((doc, leader))
+            if len(out) == 1 << 14:
+                yield _link_batch(out)
+                out = []
+    yield _link_batch(out)
+
+
+def confirm_blocks(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (family, i, j): two blocks of a family at a time."""
+    group, docs, clusters, outside, sets = None, [], [], [], []
+    for (doc, cluster, out, *name), found in texts_of(batches, words, ("doc_id", "cluster", "outside", "family", "i", "j")):
+        if name != group:
+            if len(docs) > 1:
+                yield _link_batch([(docs[x], docs[y]) for x, y in linked(sets, percent, clusters, outside)])
+            group, docs, clusters, outside, sets = name, [], [], [], []
+        docs.append(doc)
+        clusters.append(cluster)
+        outside.append(out)
+        sets.append(found.copy())
+    if len(docs) > 1:
+        yield _link_batch([(docs[x], docs[y]) for x, y in linked(sets, percent, clusters, outside)])
+
+
+def _link_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=LINKS)
 
 
 def near_dup_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -176,32 +215,80 @@ def near_dup_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Links join documents whose sets of distinct `words`-word shingles have 100 * intersection >=
     percent * union. component_id is the least doc_id that links reach, kept says it is the row's own.
-    Null or empty texts and texts without words have 0 shingles and are linked with nothing. Rows
-    that repeat a doc_id are one document. Rows without doc_id are linked with nothing: their
-    component_id is null and they are kept. An empty table gives an empty one; other columns are ignored.
+    Null or empty texts and texts without words have 0 shingles and are linked with nothing; a very long
+    text is compared whole. Rows that repeat a doc_id are one document. Rows without doc_id are linked
+    with nothing: their component_id is null and they are kept. An empty table gives an empty one; other
+    columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = scratch.cut(mapped(docs, SKETCH, lambda batch: sketch(batch, words)))
     leads = sketches.where("copy_of = doc_id")
-    by_print = leads.select("doc_id", F.min("doc_id").over(Window.partitionBy("fp1", "fp2")).alias("b")).where("doc_id <> b")
-    copies = sketches.where("copy_of <> doc_id").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b")).unionAll(by_print.select(F.col("doc_id").alias("a"), "b"))
-    shared = leads.select("doc_id", F.explode("keys").alias("key")).select(F.col("doc_id").alias("a"), F.min("doc_id").over(Window.partitionBy("key")).alias("b")).where("a <> b")
-    candidates = shared.unionAll(leads.select(F.col("doc_id").alias("a"), F.explode("links").alias("b")))
-    families = scratch.cut(components(scratch, candidates))
-    sizes = families.join(leads.select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node").groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("members"))
-    # written, so that the join's sides are plain exchanges, of which a hot family's can be split
-    sizes = scratch.cut(sizes.select("component", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_DOCS)).cast("int").alias("blocks")))
-    members = families.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    texts = docs.join(members, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or other <> block")
-    pairs = texts.select("doc_id", "text", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def least_of(rows: DataFrame, key: list[str]) -> DataFrame:
+        """(a, b): each row's document and the least one of its key, where that is another."""
+        least = rows.groupBy(*key).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_most")).where("b <> _most").drop("_most")
+        return rows.join(least, key).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+
+    copies = sketches.where("copy_of <> doc_id").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b")).unionAll(least_of(leads.select("doc_id", "fp1", "fp2"), ["fp1", "fp2"]))
+    shared = least_of(leads.select("doc_id", F.explode("keys").alias("key")), ["key"])
+    candidates = scratch.cut(shared.unionAll(leads.select(F.col("doc_id").alias("a"), F.explode("links").alias("b"))).distinct())
+    members = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # equal rows once; a join by doc_id and this need one exchange
+    texts = scratch.cut(docs.join(members, "doc_id").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
     small_batches(docs.sparkSession)
-    confirmed = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lambda it: confirm(it, words, percent), "a long, b long")
-    found = components(scratch, scratch.cut(confirmed).unionAll(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    stars = scratch.cut(_stars(texts, candidates, words, percent))
+    clusters = scratch.cut(components(scratch, stars.unionAll(copies)))
+    found = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    cluster = lambda end: found.select(F.col("doc_id").alias(end), F.col("component_id").alias(f"of_{end}"))
+    apart = candidates.join(cluster("a"), "a", "left").join(cluster("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    apart = scratch.cut(apart.where("a <> b").distinct())
+    if not apart.isEmpty():
+        rest = scratch.cut(_unsettled(members, found, leads, components(scratch, apart)))
+        edges = clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(scratch.cut(_blocks(texts, rest, words, percent)))
+        found = components(scratch, edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
+def _stars(texts: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
+    """The candidates (a, b) that are links. A leader stands with at most about BLOCK_DOCS candidates in a part."""
+    parts = candidates.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    roles = candidates.join(parts, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), part.alias("part"))
+    own = parts.select(F.col("b").alias("doc_id"), F.col("b").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = texts.join(roles.unionAll(own), "doc_id").repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("doc_id") != F.col("leader"))
+    return rows.mapInArrow(lambda it: confirm_stars(it, words, percent), "a long, b long")
+
+
+def _unsettled(members: DataFrame, found: DataFrame, leads: DataFrame, families: DataFrame) -> DataFrame:
+    """(doc_id, family, cluster, outside, block, n_out, n_in) of families, which are clusters that candidates join.
+
+    outside: not of the family's largest cluster. Either kind of document is dealt to blocks of its own.
+    """
+    named = members.join(found, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("cluster"))
+    named = named.join(families.select(F.col("node").alias("cluster"), F.col("component").alias("family")), "cluster").join(leads.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
+    sizes = named.groupBy("family", "cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    blocks = lambda n, shingles: F.greatest(F.lit(1), F.ceil(n / BLOCK_DOCS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    largest = F.max(F.struct("n", F.negative("cluster").alias("least"), "shingles"))
+    whole = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), largest.alias("main"))
+    plan = whole.select("family", F.negative("main.least").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("n_out"), blocks(F.col("main.n"), F.col("main.shingles")).alias("n_in"))
+    outside = F.col("cluster") != F.col("main")
+    block = F.pmod(F.xxhash64("doc_id"), F.when(outside, F.col("n_out")).otherwise(F.col("n_in"))).cast("int")
+    return named.join(plan, "family").select("doc_id", "family", "cluster", outside.alias("outside"), block.alias("block"), "n_out", "n_in")
+
+
+def _blocks(texts: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links of the documents outside of largest clusters. Pair (i, j) of blocks holds the outer block i and
+    the inner block j, or, from n_in on, the outer block j - n_in; each pair of blocks meets once."""
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    inner = rest.where("not outside").withColumn("i", F.explode(every("n_out"))).withColumn("j", F.col("block"))
+    outer = rest.where("outside").withColumn("i", F.col("block")).withColumn("j", F.explode(every("n_in")))
+    other = rest.where("outside").withColumn("_at", F.explode(every("n_out"))).where("_at <> block").withColumn("i", F.least("block", "_at")).withColumn("j", F.col("n_in") + F.greatest("block", "_at")).drop("_at")
+    rows = texts.join(inner.unionByName(outer).unionByName(other).drop("block", "n_out", "n_in"), "doc_id")
+    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lambda it: confirm_blocks(it, words, percent), "a long, b long")
+
+
 def without_near_dups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group: the one of the least doc_id (rows without doc_id all stay).
 
