@@ -5,11 +5,12 @@ combines one half-key of either collection. So 2 * 10 * 3 = 60 minhashes give 10
 6 minhashes each, where separate tables would need 600. A pair of similarity s shares a key with
 probability (1 - (1 - s**3)**10)**2: 0.9985 at 0.8, 0.9999 at 0.85, 0.006 at 0.2.
 
-1. One pass over the texts makes each document's set size, set fingerprint and keys. Within each
-   chunk of rows, copies and documents that share a key are reduced to one before anything moves.
-2. Documents that share a key are candidates for a link to the key's least document, its leader;
-   leaders come from a pre-aggregated minimum, so a hot key is no hot task. Each candidate is compared
-   with its leaders exactly, on full sets; a leader's candidates are dealt to parts of bounded size.
+1. One pass over the texts makes each document's set size, set fingerprint and keys. Among some 10,000
+   documents at a time, copies and documents that share a key are reduced to one before anything moves:
+   so the rows of a hot key are few, whatever share of the documents have it.
+2. Documents that share a key are candidates for a link to the key's least document, its leader. Each
+   candidate is compared with its leaders exactly, on full sets; a leader's candidates are dealt to
+   parts of bounded size.
 3. Clusters that candidates join but no link does make families, which are compared as a whole: what is
    outside of a family's largest cluster with all of the family, block by block of bounded size,
    exactly, by an inverted index. Nothing is capped, and no pairs are written out, only the links that
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import bytes_np as B
-from tidewater.llm.common import Scratch, chunks, mapped, small_batches
+from tidewater.llm.common import Scratch, chunks, small_batches
 from tidewater.llm.graph import components
 from tidewater.llm.shingles import shingle_sets
 
@@ -35,6 +36,8 @@ U64 = np.uint64
 COLLECTION, HALF = 10, 3
 #: A block of a family holds about so many shingles and documents at most.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 18, 512
+#: Keys that are combined before anything moves: those of some 10,000 documents.
+HELD = 1 << 20
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, copy_of long, links array<long>, keys array<long>"
 
 
@@ -52,54 +55,71 @@ def tensored_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return B.mix(keys.reshape(COLLECTION * COLLECTION, len(starts)).T.copy())
 
 
-def sketch(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
-    hashes, offsets = shingle_sets(batch.column("text"), words)
-    sizes = np.diff(offsets)
-    ids = batch.column("doc_id")
-    known = np.asarray(ids.is_valid())
-    doc = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    full = np.flatnonzero(sizes)
-    fp = np.zeros((2, len(sizes)), U64)
-    if len(full):
-        starts = offsets[:-1][full]
-        fp[0, full] = B.mix(np.add.reduceat(B.mix(hashes), starts) + sizes[full].astype(U64))
-        fp[1, full] = np.add.reduceat(B.mix(hashes ^ U64(0x5851F42D4C957F2D)), starts)
-    nodes = full[known[full]]
-    # copies within the chunk: only the least document goes on
+def sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Sizes, fingerprints and keys of a partition's rows, about HELD keys at a time.
+
+    Among these, copies go on as their least document alone, and of documents that share a key only the
+    least keeps it; the others say whom they share it with. So a hot key or fingerprint is a row for
+    each HELD keys of the table.
+    """
+    held, count = [], 0
+    for batch in batches:
+        for part in chunks(batch):
+            hashes, offsets = shingle_sets(part.column("text"), words)
+            sizes = np.diff(offsets)
+            full = np.flatnonzero(sizes)
+            fp = np.zeros((2, len(sizes)), U64)
+            keys = np.zeros((len(sizes), COLLECTION * COLLECTION), U64)
+            if len(full):
+                starts = offsets[:-1][full]
+                fp[0, full] = B.mix(np.add.reduceat(B.mix(hashes), starts) + sizes[full].astype(U64))
+                fp[1, full] = np.add.reduceat(B.mix(hashes ^ U64(0x5851F42D4C957F2D)), starts)
+                keys[full] = tensored_keys(hashes, starts)
+            held.append((part.column("doc_id"), sizes, fp, keys))
+            count += keys.size
+            if count >= HELD:
+                yield combined(held)
+                held, count = [], 0
+    if held:
+        yield combined(held)
+
+
+def combined(held: list[tuple]) -> pa.RecordBatch:
+    ids = pa.concat_arrays([x[0] for x in held]).cast(pa.int64())
+    sizes, fp, keys = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held], 1), np.concatenate([x[3] for x in held])
+    doc = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    nodes = np.flatnonzero((sizes > 0) & np.asarray(ids.is_valid()))
+    # copies: only the least document goes on
     order = nodes[np.lexsort((doc[nodes], fp[1, nodes], fp[0, nodes]))]
     lead = np.ones(len(order), bool)
     lead[1:] = (fp[0, order[1:]] != fp[0, order[:-1]]) | (fp[1, order[1:]] != fp[1, order[:-1]])
-    copy_of = np.full(len(sizes), -1, np.int64)
+    copy_of, known = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
     copy_of[order] = doc[order[lead]][np.cumsum(lead) - 1]
+    known[order] = True
     own = np.sort(order[lead])
-    links: dict[int, list[int]] = {}
-    kept: dict[int, np.ndarray] = {}
-    if len(own):
-        at = {int(r): i for i, r in enumerate(full)}
-        keys = tensored_keys(hashes, offsets[:-1][full])[[at[int(r)] for r in own]]
-        flat, who = keys.ravel(), np.repeat(np.arange(len(own)), keys.shape[1])
-        o = np.lexsort((doc[own][who], flat))
-        first = np.ones(len(o), bool)
-        first[1:] = flat[o[1:]] != flat[o[:-1]]
-        leader = who[o[first]][np.cumsum(first) - 1]
-        same = np.zeros(len(o), bool)
-        same[o] = ~first
-        for a, b in np.unique(np.stack([who[o[~first]], leader[~first]], 1), axis=0).tolist():
-            if a != b:
-                links.setdefault(int(own[a]), []).append(int(doc[own[b]]))
-        keep = ~same.reshape(keys.shape)
-        for i, r in enumerate(own.tolist()):
-            kept[r] = keys[i][keep[i]].view(np.int64)
-    rows = range(len(sizes))
+    flat, who = keys[own].ravel(), np.repeat(own, keys.shape[1])
+    o = np.lexsort((doc[who], flat))
+    first = np.ones(len(o), bool)
+    first[1:] = flat[o[1:]] != flat[o[:-1]]
+    leader = doc[who[o[first]]][np.cumsum(first) - 1]
+    same = o[~first]
+    pairs = np.unique(np.stack([who[same], leader[~first]], 1), axis=0)
+    pairs = pairs[doc[pairs[:, 0]] != pairs[:, 1]]
+    stays = np.ones(len(flat), bool)
+    stays[same] = False
+
+    def lists(rows: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(sizes) + 1)), pa.int32()), pa.array(values, pa.int64()))
+
     return pa.RecordBatch.from_arrays(
         [
-            ids.cast(pa.int64()),
+            ids,
             pa.array(sizes, pa.int64()),
             pa.array(fp[0].view(np.int64)),
             pa.array(fp[1].view(np.int64)),
-            pa.array(copy_of, pa.int64(), mask=~np.isin(np.arange(len(sizes)), order) if len(order) else np.ones(len(sizes), bool)),
-            pa.array([links.get(r, []) for r in rows], pa.list_(pa.int64())),
-            pa.array([kept.get(r, []) for r in rows], pa.list_(pa.int64())),
+            pa.array(copy_of, pa.int64(), mask=~known),
+            lists(pairs[:, 0], pairs[:, 1]),
+            lists(who[stays], flat[stays].view(np.int64)),
         ],
         ["doc_id", "n_shingles", "fp1", "fp2", "copy_of", "links", "keys"],
     )
@@ -222,13 +242,14 @@ def near_dup_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = scratch.cut(mapped(docs, SKETCH, lambda batch: sketch(batch, words)))
+    small_batches(docs.sparkSession)
+    sketches = scratch.cut(docs.mapInArrow(lambda it: sketch(it, words), SKETCH))
     leads = sketches.where("copy_of = doc_id")
 
     def least_of(rows: DataFrame, key: list[str]) -> DataFrame:
-        """(a, b): each row's document and the least one of its key, where that is another."""
-        least = rows.groupBy(*key).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_most")).where("b <> _most").drop("_most")
-        return rows.join(least, key).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+        """(a, b): each row's document and the least one of its key, where that is another. A task holds one row at a time."""
+        so_far = Window.partitionBy(*key).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.select(F.col("doc_id").alias("a"), F.min("doc_id").over(so_far).alias("b")).where("a <> b")
 
     copies = sketches.where("copy_of <> doc_id").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b")).unionAll(least_of(leads.select("doc_id", "fp1", "fp2"), ["fp1", "fp2"]))
     shared = least_of(leads.select("doc_id", F.explode("keys").alias("key")), ["key"])
@@ -236,7 +257,6 @@ def near_dup_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # equal rows once; a join by doc_id and this need one exchange
     texts = scratch.cut(docs.join(members, "doc_id").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
-    small_batches(docs.sparkSession)
     stars = scratch.cut(_stars(texts, candidates, words, percent))
     clusters = scratch.cut(components(scratch, stars.unionAll(copies)))
     found = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
