@@ -255,8 +255,8 @@ def near_dup_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = least_of(leads.select("doc_id", F.explode("keys").alias("key")), ["key"])
     candidates = scratch.cut(shared.unionAll(leads.select(F.col("doc_id").alias("a"), F.explode("links").alias("b"))).distinct())
     members = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # equal rows once; a join by doc_id and this need one exchange
-    texts = scratch.cut(docs.join(members, "doc_id").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+    # equal rows once; a join by doc_id and this need one exchange. Joined in one way at every size: who is a candidate has no bound
+    texts = scratch.cut(docs.join(members.hint("merge"), "doc_id").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
     stars = scratch.cut(_stars(texts, candidates, words, percent))
     clusters = scratch.cut(components(scratch, stars.unionAll(copies)))
     found = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
@@ -267,6 +267,9 @@ def near_dup_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         rest = scratch.cut(_unsettled(members, found, leads, components(scratch, apart)))
         edges = clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(scratch.cut(_blocks(texts, rest, words, percent)))
         found = components(scratch, edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+        scratch.drop(rest)
+    for done in (texts, candidates, stars, apart):
+        scratch.drop(done)
     out = sketches.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
@@ -277,7 +280,7 @@ def _stars(texts: DataFrame, candidates: DataFrame, words: int, percent: int) ->
     part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
     roles = candidates.join(parts, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), part.alias("part"))
     own = parts.select(F.col("b").alias("doc_id"), F.col("b").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = texts.join(roles.unionAll(own), "doc_id").repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("doc_id") != F.col("leader"))
+    rows = texts.join(roles.unionAll(own).hint("merge"), "doc_id").repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("doc_id") != F.col("leader"))
     return rows.mapInArrow(lambda it: confirm_stars(it, words, percent), "a long, b long")
 
 
