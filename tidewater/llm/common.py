@@ -24,6 +24,8 @@ CHUNK_BYTES = 1 << 20
 #: The words that the contracts count: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting by which an execution deletes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: list[str] = []
 
 
@@ -71,7 +73,13 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        # once the table is whole, nobody needs the shuffles that made it
+        was = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -18,9 +18,7 @@ Every step works on buckets whose number follows the size of the table, and ends
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -428,19 +426,6 @@ def trimmed(key, texts: pa.Table, rows: pa.Table) -> pa.Table:
     return pa.table({"doc_id": texts.column("doc_id"), "kept": pa.array(kept, pa.binary())})
 
 
-def _swept(scratch: Scratch, make) -> DataFrame:
-    """The table that make() plans, written; after that the driver lets go of the shuffles that made it.
-
-    The gateway tells the JVM of dropped objects within a second, so the JVM's collection waits for that.
-    """
-    out = scratch.cut(make())
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.6)
-        scratch.spark._jvm.System.gc()
-    return out
-
-
 def _by_document(docs: DataFrame, function, schema: str) -> DataFrame:
     """Runs the steps and applies `function` to every bucket of documents and what is known about it."""
     spark = docs.sparkSession
@@ -449,7 +434,7 @@ def _by_document(docs: DataFrame, function, schema: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     buckets = bucket_count(docs, BUCKET_BYTES)
     arrange = lambda df: df.repartition(buckets, "at").sortWithinPartitions("at")
-    shared = _swept(scratch, lambda: arrange(docs.mapInArrow(lambda it: spread(it, buckets), PACKED)).mapInArrow(lambda it: compare(it, buckets), PACKED))
+    shared = scratch.cut(arrange(docs.mapInArrow(lambda it: spread(it, buckets), PACKED)).mapInArrow(lambda it: compare(it, buckets), PACKED))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -458,9 +443,7 @@ def _by_document(docs: DataFrame, function, schema: str) -> DataFrame:
 
     def texts():
         return docs.mapInArrow(placed, "at int, doc_id long, text string").repartition(buckets, "at").groupBy("at")
-    owned = _swept(
-        scratch, lambda: arrange(texts().cogroup(shared.repartition(buckets, "at").groupBy("at")).applyInArrow(send_cut_outs, PACKED)).mapInArrow(find_owners, PACKED)
-    )
+    owned = scratch.cut(arrange(texts().cogroup(shared.repartition(buckets, "at").groupBy("at")).applyInArrow(send_cut_outs, PACKED)).mapInArrow(find_owners, PACKED))
     known = shared.unionAll(owned)
     return texts().cogroup(known.repartition(buckets, "at").groupBy("at")).applyInArrow(function, schema)
 
