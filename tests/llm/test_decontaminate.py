@@ -78,7 +78,8 @@ def test_rows(spark):
     got = sorted((str(r.doc_id), r.item_id, r.distance) for r in contaminated(docs, bench).collect())
     assert got == [("1", 10, 0), ("1", 10, 0), ("5", 10, 0), ("5", 11, 0), ("None", 10, 0)]
     left = without_contaminated(docs, bench)
-    assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "3", "4", "None"] and left.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "3", "4"] and left.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in without_contaminated(docs, bench.limit(0)).collect()) == sorted(str(r.doc_id) for r in docs.collect())
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
     row = contaminated(docs.where("doc_id = 5"), bench.where("item_id = 10")).first()
     text = docs.where("doc_id = 5").first().text.encode()
@@ -167,3 +168,11 @@ def test_rows_that_share_an_id_are_dropped_by_themselves(spark):
     docs = spark.createDataFrame([(1, f"{clean} {item}", "a"), (1, clean, "b"), (2, item, None), (2, None, "c")], "doc_id long, text string, source string")
     left = without_contaminated(docs, spark.createDataFrame([(10, item)], "item_id long, text string"))
     assert sorted((r.doc_id, r.text, r.source) for r in left.collect()) == [(1, clean, "b"), (2, None, "c")]
+
+
+def test_rows_without_id_are_judged_like_others(spark):
+    rng = random.Random(29)
+    item, clean = words(rng, 30), words(rng, 60)
+    docs = spark.createDataFrame([(None, f"{clean} {item}", 1), (None, clean, 2), (None, None, 3)], "doc_id long, text string, keep int")
+    left = without_contaminated(docs, spark.createDataFrame([(10, item)], "item_id long, text string"))
+    assert sorted(r.keep for r in left.collect()) == [2, 3]

@@ -31,3 +31,22 @@ def test_stages_take_effect(spark):
     again = P.run(spark, FOLDER)
     key = lambda df: sorted((r.doc_id, r.shard, r.slot) for r in df.collect())
     assert key(again) == key(got["sharding"])
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and names that the stages use themselves."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    names = ["_row", "_document", "_times", "block", "score", "component_id", "_twin"]
+    wide = docs.withColumns({n: F.lit(1) for n in names})
+    odd = spark.createDataFrame([(None, "a b c", None, None, None), (None, None, None, None, None), (9001, "", "en", None, 0), (9002, "word " * 150000, None, "web", 1), (9003, "w x", "en", "web", 1), (9003, "w x", "en", "web", 1)], docs.schema).withColumns({n: F.lit(None).cast("int") for n in names})
+    for rows in (wide.unionAll(odd), wide.limit(0)):
+        at = rows
+        for name, stage in P.STAGES:
+            at = Scratch(spark).cut(stage(spark, at, FOLDER))
+            assert at.columns[: len(wide.columns)] == wide.columns, name
+        assert (at.count() > 0) == (rows.count() > 0)
+        if at.count():
+            kept = {r.doc_id for r in at.collect()}
+            assert {None, 9001, 9002, 9003} <= kept

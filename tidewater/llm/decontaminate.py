@@ -327,13 +327,17 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item, each judged by its own text; rows without doc_id stay."""
+    """docs without the rows that hold an item, each judged by its own text, whether it has a doc_id or not.
+
+    Null and empty texts stay, very long ones are searched whole, each of several equal rows is judged
+    alike. Columns may have any names; empty tables of either kind take nothing away. All blocks of
+    items are looked for in one scan.
+    """
 
     def clean(docs: DataFrame, items: Items) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = ~np.asarray(batch.column("doc_id").is_valid())
-            held = [r for r, *_ in matches(batch.column("text"), items)]
-            keep[np.setdiff1d(np.arange(len(keep)), held)] = True
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r for r, *_ in matches(batch.column("text"), items)]] = False
             return batch.filter(pa.array(keep))
 
         return mapped(docs, docs.schema, run, limit=2 * CHUNK_BYTES)
