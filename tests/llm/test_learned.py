@@ -195,6 +195,32 @@ def test_language_on_held_out_rows(spark, tables):
     assert und[1] == und[2] == und[5] == "und"
 
 
+def test_language_distances_against_plain_counts(spark, tables):
+    docs, _ = tables
+    languages, vocabulary, table_ = language.learn_profiles(docs, 3, 1)
+    profile = [{int(g): int(p) for g, p in zip(vocabulary, table_[:, i]) if p < language.RANKS} for i in range(len(languages))]
+    assert all(sorted(p.values()) == list(range(len(p))) and len(p) == language.RANKS for p in profile)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(25).collect()] + ["a", "Zwölf Boxkämpfer, 3 jagen!", "\U00020000 é" * 3, "x " * 4000, "12", "", None]
+    names, scores = language.closest(texts, languages, vocabulary, table_)
+    for text, name, score in zip(texts, names, scores):
+        counts = {}
+        blank = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+        line = [32 if c == " " else ord(c) for c in re.sub(" +", " ", blank)]
+        for n in (1, 2, 3):
+            for i in range(len(line) - n + 1):
+                gram = line[i : i + n]
+                if (gram[1] != 32 if n == 3 else any(c != 32 for c in gram)):
+                    key = sum(c << 21 * (n - 1 - k) for k, c in enumerate(gram))
+                    counts[key] = counts.get(key, 0) + 1
+        if not counts:
+            assert (name, score) == ("und", 0)
+            continue
+        top = sorted(counts, key=lambda g: (-counts[g], g))[: language.RANKS]
+        far = [sum(abs(p[g] - i) if g in p else language.RANKS for i, g in enumerate(top)) for p in profile]
+        near, second = sorted(far)[:2]
+        assert name == languages[far.index(near)] and score == pytest.approx(second / max(1, second + near))
+
+
 def test_language_profiles_by_hand():
     points, first = language.letters_only(["Ab, ab!", None, "É1x"])
     assert "".join(map(chr, points[first[0] : first[1]])) == " ab ab " and "".join(map(chr, points[first[2] : first[3]])) == " é x "

@@ -81,13 +81,13 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def render(folded: DataFrame) -> DataFrame:
-    """(conv_id, formatted) from (conv_id, turns)."""
+    """(conv_id, formatted) from (conv_id, turns). No turns give an empty text; texts of any length are rendered whole."""
     one = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(SAY), escape(t["text"]), F.lit(END))
     return folded.select("conv_id", F.array_join(F.transform("turns", one), "").alias("formatted"))
 
 
 def parse(formatted: Column) -> Column:
-    """The turns (role, text, trained) that a rendered conversation says."""
+    """The turns (role, text, trained) that a rendered conversation says: none for an empty text, null for null."""
     quoted = lambda s: s.replace("|", r"\|")
     parts = F.slice(F.split(formatted, quoted(TURN)), 2, 1 << 30)
     one = lambda p: let(
@@ -117,7 +117,11 @@ def format_chats(log: DataFrame) -> DataFrame:
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What is read back from the formatted text, in numbers and SHA-256."""
+    """What is read back from the formatted text, in numbers and SHA-256.
+
+    A row a conversation, that without an id included; null roles and texts count as empty, turns of
+    equal place, role and text count each; other columns are ignored, no conversations give no rows.
+    """
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     with_loss = chats.withColumn("_said", said).withColumn("_loss", F.array_join(F.transform(F.filter("turns", lambda t: t["trained"]), lambda t: t["text"]), ""))
     return with_loss.select(

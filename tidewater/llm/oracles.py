@@ -92,4 +92,16 @@ SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(s
 FROM parts WHERE shard > 0 GROUP BY id, doc_id, source, size, source_size, target
 """
 
-ORACLES = {"op2_minhash_near_dups": OP2, "op3_chat_format": OP3, "op6_quality_rules": OP6, "op9_source_mixing": OP9}
+EDITED = OP3.replace(
+    """coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'""",
+    "coalesce(text, '') || CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, coalesce(role, '') DESC, coalesce(text, '') DESC) = 1 THEN '!' ELSE '' END AS text FROM conversations",
+)
+
+ABLATIONS = OP6.replace(
+    "SELECT *, (failed & 3) <> 0 AS base_failed, (failed & 15) = 0 AS kept FROM ledger",
+    """SELECT rule, CAST(count(*) FILTER (failed & bit <> 0) AS BIGINT) AS failing, CAST(count(*) FILTER (failed & 15 = bit) AS BIGINT) AS only
+FROM ledger, (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8)) AS r(rule, bit) GROUP BY rule""",
+)
+
+ORACLES = {"op2_minhash_near_dups": OP2, "op3_chat_format": OP3, "op6_quality_rules": OP6, "op9_source_mixing": OP9, "rules_ablations": ABLATIONS, "chat_edited_log": EDITED}
