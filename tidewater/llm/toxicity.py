@@ -49,8 +49,8 @@ def word_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> U64(64 - SLOT_BITS)).astype(np.int64), B.rows_of(starts, offsets)
 
 
-def peaks(rows: np.ndarray, first: np.ndarray, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(largest output, where its window begins) of every filter in every text; -inf where no window fits.
+def peaks(rows: np.ndarray, first: np.ndarray, w: dict[str, np.ndarray], places: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(largest output, if asked for where its window begins) of every filter in every text; -inf where no window fits.
 
     rows: of the embeddings, for all texts' words end to end; first: where each text begins. Filters
     stand in the order of their widths.
@@ -64,19 +64,22 @@ def peaks(rows: np.ndarray, first: np.ndarray, w: dict[str, np.ndarray]) -> tupl
         text = np.searchsorted(first, starts, side="right") - 1
         sizes = np.diff(np.append(starts, b))
         left = np.repeat(first[text + 1], sizes) - np.arange(a, b)
-        z = np.empty((b - a, total), np.float32)
-        for j, width in enumerate(WIDTHS):
-            own = z[:, j * FILTERS : (j + 1) * FILTERS]
-            own[:] = x[: b - a] @ w[f"f{width}"][0] + w[f"b{width}"]
-            for k in range(1, width):
-                next_words = x[k : b - a + k]
-                own[: len(next_words)] += next_words @ w[f"f{width}"][k]
-            own[left < width] = -np.inf  # windows must not run into the next text
+        # every tap of every filter at once; a window adds those of its words
+        taps = x @ np.concatenate([w[f"f{width}"][k] for k in range(WIDTHS[-1]) for width in WIDTHS if k < width], 1)
+        z = taps[: b - a, :total] + np.concatenate([w[f"b{width}"] for width in WIDTHS])
+        done = total
+        for k in range(1, WIDTHS[-1]):
+            more = FILTERS * (len(WIDTHS) - k)  # those of widths above k
+            behind = taps[k : b - a + k, done : done + more]
+            z[: len(behind), total - more :] += behind
+            z[left <= k, total - more :] = -np.inf  # windows must not run into the next text
+            done += more
         best = np.maximum.reduceat(z, starts - a, axis=0)
-        place = np.where(z == np.repeat(best, sizes, axis=0), np.arange(a, b)[:, None], n)
-        place = np.minimum.reduceat(place, starts - a, axis=0)
-        more = best > top[text]
-        top[text], at[text] = np.where(more, best, top[text]), np.where(more, place, at[text])
+        if places:
+            place = np.where(z == np.repeat(best, sizes, axis=0), np.arange(a, b)[:, None], n)
+            place = np.minimum.reduceat(place, starts - a, axis=0)
+            at[text] = np.where(best > top[text], place, at[text])
+        top[text] = np.maximum(best, top[text])
     return top, at
 
 
@@ -162,7 +165,7 @@ def score(model: Model, column: pa.Array) -> np.ndarray:
     """The calibrated score of each text; one without words counts as nothing but the bias."""
     slots, first = word_slots(column)
     rows = model.slots[slots].astype(np.int64)
-    found = logits(peaks(rows, first, model.weights)[0], model.weights)
+    found = logits(peaks(rows, first, model.weights, places=False)[0], model.weights)
     guess = np.full(len(found), len(model.offsets) - 1)
     some = np.flatnonzero(np.diff(first))
     if len(some) and model.languages.shape[1]:
