@@ -24,7 +24,7 @@ HALF, TAPS, FILTERS, HIDDEN = 128, 5, 16, 12
 PER_CLASS = 1500
 STEPS, BATCH, RATE, DECAY = 800, 32, 0.01, 1e-3
 #: Half-chunks whose filters are held at once, whatever the length of a text.
-SLAB = 1 << 12
+SLAB = 1 << 8
 CUT = 0.3
 
 
@@ -47,20 +47,32 @@ def halves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, first
 
 
-def peaks(padded: np.ndarray, first: np.ndarray, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(largest output, where in the half-chunk it stands) of every filter in every half-chunk."""
+def peaks(padded: np.ndarray, first: np.ndarray, w: dict[str, np.ndarray], places: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(largest output, if asked for where in the half-chunk it stands) of every filter in every half-chunk."""
     count, ends = int(first[-1]), first[1:][np.diff(first) > 0] - 1
-    top, at = np.zeros((count, FILTERS), np.float32), np.zeros((count, FILTERS), np.int64)
+    top, at = np.zeros((count, FILTERS), np.float32), np.zeros((count if places else 0, FILTERS), np.int64)
+    # for many bytes, neighbouring taps share a table of byte pairs
+    paired = not places and count > SLAB // 4
+    tables = [(w["taps"][k][:, None] + w["taps"][k + 1]).reshape(-1, FILTERS) for k in range(0, TAPS - 1, 2)] if paired else []
+    tables += [w["taps"][k] for k in range(2 * len(tables), TAPS)]
     for a in range(0, count, SLAB):
         n = min(SLAB, count - a) * HALF
-        z = w["taps"][0][padded[a * HALF : a * HALF + n]]
-        for k in range(1, TAPS):
-            z += w["taps"][k][padded[a * HALF + k : a * HALF + k + n]]
+        byte = padded[a * HALF : a * HALF + n + TAPS].astype(np.intp)
+        both = byte[:-1] * 256 + byte[1:] if paired else byte
+        z, one = np.zeros((n, FILTERS), w["taps"].dtype), np.empty((n, FILTERS), w["taps"].dtype)
+        k = 0
+        for table in tables:
+            z += np.take(table, (both if len(table) > 256 else byte)[k : k + n], axis=0, out=one, mode="clip")
+            k += 2 if len(table) > 256 else 1
         cubes = z.reshape(-1, HALF, FILTERS)
         # what begins in the zeros behind a text has no byte of it
         cubes[ends[(ends >= a) & (ends < a + len(cubes))] - a, HALF - TAPS + 1 :] = 0
-        at[a : a + len(cubes)] = cubes.argmax(1)
-        top[a : a + len(cubes)] = cubes.max(1)
+        if places:
+            at[a : a + len(cubes)] = cubes.argmax(1)
+        while cubes.shape[1] > 1:  # HALF is a power of two
+            middle = cubes.shape[1] // 2
+            cubes = np.maximum(cubes[:, :middle], cubes[:, middle:])
+        top[a : a + len(cubes)] = cubes[:, 0]
     return np.maximum(top, 0), at
 
 
@@ -84,7 +96,7 @@ def pooled_parts(inputs: np.ndarray, w: dict[str, np.ndarray], first: np.ndarray
 
 def logits(data: np.ndarray, offsets: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     padded, first = halves(data, offsets)
-    inputs, _, _ = chunks_of(peaks(padded, first, w)[0], first)
+    inputs, _, _ = chunks_of(peaks(padded, first, w, places=False)[0], first)
     return pooled_parts(inputs, w, first)[0] @ w["out"] + w["bias"][0]
 
 
