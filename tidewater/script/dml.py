@@ -399,6 +399,7 @@ def insert(interp, node: Node) -> Result:
         listed = ", ".join("(" + ", ".join(f"CAST({x} AS {k.spark()})" for x, k in zip(r, kinds)) + ")" for r in rows)
         plain = all(" (SELECT" not in str(x) and "EXISTS (" not in str(x) for r in rows for x in r)
         df = s.run(f"SELECT * FROM (VALUES {listed})" if plain else " UNION ALL ".join("SELECT " + ", ".join(f"CAST({x} AS {k.spark()}) AS v{i}" for i, (x, k) in enumerate(zip(r, kinds))) for r in rows))
+        df = df.coalesce(1)  # a statement's own rows are few, and come out in their order
     elif node.exec is not None:
         before = len(interp.out)
         interp.statement(node.exec)
