@@ -48,3 +48,17 @@ def test_flagship_pushes_down(spark):
     plan = open_folder(spark, FOLDER).explain("SELECT l_orderkey FROM lineitem WHERE l_quantity < 5 AND l_returnflag = 'R'")["plan"]
     assert "LessThan(l_quantity" in plan and "EqualTo(l_returnflag" in plan
     assert "l_comment" not in plan and "l_tax" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_equal_totals_rank_by_key(spark, tmp_path):
+    """Copies of the customers, whose orders come in another order, share their totals to the cent."""
+    c = duckdb.connect()
+    c.execute(f"create table o as select * from '{FOLDER}/orders.parquet'")
+    keys = c.execute("select max(o_orderkey) + 1, max(o_custkey) + 1 from o").fetchone()
+    c.execute("create table orders as select * from o order by o_orderkey")
+    c.execute("insert into orders select * replace (o_orderkey + ? as o_orderkey, o_custkey + ? as o_custkey) from o order by o_orderkey desc", keys)
+    c.execute(f"copy orders to '{tmp_path}/orders.parquet' (format parquet)")
+    df = plans.queries()["win_over_group"](spark, str(tmp_path))
+    cents = plans.oracle_sql()["win_over_group"].replace("SUM(o_totalprice)", "SUM(CAST(o_totalprice AS DECIMAL(18, 2)))")
+    want = [(k, float(total), place) for k, total, place in c.execute(cents).fetchall()]
+    assert sorted(map(tuple, df.collect())) == sorted(want)

@@ -1,11 +1,15 @@
 """Statements with results that are known beforehand."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.errors import SqlError
 from tidewater.session import Engine
+from tidewater.tsql.emit import float_sum
 from tidewater.tsql.lexer import batches, tokens
 from tidewater.tsql.statements import parse
 
@@ -267,3 +271,23 @@ def test_dataframes_as_arguments(engine, spark):
     assert engine.default.bulk_load("t", spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")) == 2
     engine.default.bind_table("@p", spark.range(3))
     assert one(engine, "SELECT COUNT(*) AS n FROM t JOIN @p p ON p.id = t.a") == [(2,)]
+
+
+def test_float_totals_rank_in_no_order_of_rows(engine, spark):
+    r = random.Random(2)
+    sets = [[0.1, 0.2, 0.3], [2.0**47, 0.1, -(2.0**47)], [1e-6, -3.5, 1e-6, 7e11]] + [[r.uniform(-1e6, 1e6) for _ in range(40)] for _ in range(20)]
+    rows = [(2 * i, x) for i, values in enumerate(sets) for x in values] + [(2 * i + 1, x) for i, values in enumerate(sets) for x in reversed(values)]
+    df = spark.createDataFrame(rows, "g int, x double").coalesce(1)
+    engine.register("t", df)
+    got = one(engine, "SELECT g, RANK() OVER (PARTITION BY g / 2 ORDER BY SUM(x) DESC, g) AS s, RANK() OVER (PARTITION BY g / 2 ORDER BY AVG(x), g DESC) AS a FROM t GROUP BY g")
+    assert sorted(got) == [(g, g % 2 + 1, 2 - g % 2) for g in range(2 * len(sets))]
+    sums = df.groupBy("g").agg(F.expr(float_sum("x"))).collect()
+    assert sorted(map(tuple, sums)) == [(2 * i + k, math.fsum(values)) for i, values in enumerate(sets) for k in (0, 1)]
+
+
+def test_float_totals_of_odd_values(spark):
+    sets = [[None], [None, 1.5], [math.inf, 1.0], [math.inf, -math.inf], [1e300, 1e300, 1.0], [5e-324, 5e-324], [-0.0], [2.0**48, -1.0], [-0.1], [0.25, -(2.0**60), 2.0**60]]
+    df = spark.createDataFrame([(i, x) for i, values in enumerate(sets) for x in values], "g int, x double").repartition(3)
+    got = [repr(s) for _, s in sorted(map(tuple, df.groupBy("g").agg(F.expr(float_sum("x"))).collect()))]
+    assert got == ["None", "1.5", "inf", "nan", "2e+300", "1e-323", "0.0", repr(2.0**48 - 1), "-0.1", "0.25"]
+    assert df.where("g > 99").agg(F.expr(float_sum("x"))).collect()[0][0] is None
